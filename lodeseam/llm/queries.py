@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, pii, sharding, token_files, url_filter
+from . import exact_dedup, line_dedup, pii, sharding, simhash, token_files, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_simhash": simhash.op3_simhash,
     "op5_token_output": token_files.op5_token_output,
     "op8_pii": pii.op8_pii,
     "op9_url_filter": url_filter.op9_url_filter,
