@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_side, table, text_of
+from .common import bounded_rows, table, text_of
 
 LEAD = 32
 
@@ -39,30 +39,37 @@ def exact_dedup(
         F.sha2("text", 256).alias("sha"),
     )
     hot = keyed.groupBy("sha").agg(F.count("*").alias("copies")).where(F.col("copies") > hot_rows)
-    hot, found = small_side(hot, broadcast_rows)
-    if found == 0:
-        return _runs(keyed.withColumn("salt", F.lit(0)), largest, lambda rows: rows)
+    found = bounded_rows(hot, broadcast_rows)
+    if found == []:
+        return _runs(keyed, ["lead", "sha"], largest, lambda rows: rows)
+    sub_runs = sum(-(-r["copies"] // hot_rows) for r in found or [])
+    if found:
+        hot = F.broadcast(docs.sparkSession.createDataFrame(found, hot.schema))
     salted = keyed.join(hot, "sha", "left").withColumn(
         "salt",
         F.when(F.col("copies").isNull(), 0).otherwise(
             F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("copies") / hot_rows)).cast("int")
         ),
     )
-    merged = _merged(_compared(salted.where(F.col("copies").isNotNull())), largest)
-    merged = F.broadcast(merged) if found else merged
+    keys = ["lead", "sha", "salt"]
+    merged = _merged(_compared(salted.where(F.col("copies").isNotNull()), keys), largest)
+    merged = F.broadcast(merged) if 0 < sub_runs <= broadcast_rows else merged
 
     def joined(rows: DataFrame) -> DataFrame:
         both = rows.join(merged, ["sha", "salt", "run"], "left")
         return both.withColumns({x: F.coalesce(f"all_{x}", x) for x in ("group_size", "keep_id")})
 
-    return _runs(salted.drop("copies"), largest, joined)
+    return _runs(salted.drop("copies"), keys, largest, joined)
 
 
-def _compared(rows: DataFrame) -> DataFrame:
-    """Adds first (the text differs from its neighbour's) and run (number of runs so far)."""
-    order = Window.partitionBy("lead", "sha", "salt").orderBy("text", "doc_id")
+def _compared(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds first (the text differs from its neighbour's) and run (number of runs so far).
+
+    The windows ask for no exchange beyond the range partitioning, as their keys are its keys.
+    """
+    order = Window.partitionBy(*keys).orderBy("text", "doc_id")
     before = F.lag("text").over(order)
-    ranged = rows.repartitionByRange("lead", "sha", "salt")
+    ranged = rows.repartitionByRange(*keys)
     return ranged.withColumn("first", before.isNull() | (before != F.col("text"))).withColumn(
         "run", F.sum(F.col("first").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     )
@@ -73,14 +80,13 @@ def _ends(largest: bool) -> tuple[Column, Column]:
     return (F.max("doc_id"), doc_id.desc_nulls_last()) if largest else (F.min("doc_id"), doc_id.asc_nulls_last())
 
 
-def _runs(rows: DataFrame, largest: bool, joined) -> DataFrame:
+def _runs(rows: DataFrame, keys: list[str], largest: bool, joined) -> DataFrame:
     kept_id, order = _ends(largest)
-    run = Window.partitionBy("lead", "sha", "salt", "run")
-    narrow = _compared(rows).select("doc_id", "lead", "sha", "salt", "run")
+    run = Window.partitionBy(*keys, "run")
+    narrow = _compared(rows, keys).select("doc_id", *keys, "run")
     grouped = narrow.select(
         "doc_id",
-        "sha",
-        "salt",
+        *keys[1:],
         "run",
         F.count("*").over(run).alias("group_size"),
         kept_id.over(run).alias("keep_id"),
