@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -63,6 +64,12 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, parts))
 
 
+@functools.lru_cache(maxsize=1)
+def shared_encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a worker process, so that they share the words met so far."""
+    return WordEncoder(path)
+
+
 def _filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:/") else (pyarrow.fs.LocalFileSystem(), uri)
 
@@ -151,7 +158,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, out, doc_ids, lengths = WordEncoder(tokenizer_path), None, [], []
+        encoder, out, doc_ids, lengths = shared_encoder(tokenizer_path), None, [], []
         part = TaskContext.get().partitionId()
         end = np.array([end_id], encoder.dtype).tobytes()
         path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.arrow"
