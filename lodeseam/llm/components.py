@@ -19,7 +19,7 @@ def components(links: DataFrame) -> DataFrame:
     longest chain. Each step is written to the shared folder. Loops and repeated links do no
     harm; links with a null end are dropped; no link gives an empty table.
     """
-    pairs = links.select("u", "v").where("u IS NOT NULL AND v IS NOT NULL")
+    pairs = materialised(links.select("u", "v").where("u IS NOT NULL AND v IS NOT NULL"), "pairs")
     nodes = pairs.select("u").union(pairs.select("v")).distinct()
     edges = pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = materialised(edges, "links")
