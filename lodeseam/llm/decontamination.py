@@ -92,11 +92,16 @@ class BlockMaxIndex:
         """Entries that a passage of these distinct terms scores at the threshold or more."""
         starts = self.starts[terms]
         n = self.starts[terms + 1] - starts
-        at = np.repeat(starts - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        ends = np.cumsum(n)
+        at = np.repeat(starts - ends + n, n) + np.arange(ends[-1])
         bounds = np.bincount(self.block_of[at], self.block_max[at], self.blocks)
-        for b in np.flatnonzero(bounds >= threshold - 1e-9).tolist():
+        reached = np.flatnonzero(bounds >= threshold - 1e-9).tolist()
+        if reached:
+            held = np.zeros(len(self.ids), bool)
+            held[terms] = True
+        for b in reached:
             here = slice(self.block_starts[b], self.block_starts[b + 1])
-            found = np.isin(self.block_terms[here], terms, kind="sort")
+            found = held[self.block_terms[here]]
             scores = np.bincount(self.block_rows[here][found], self.block_values[here][found], BLOCK)
             for row in np.flatnonzero(scores >= threshold - 1e-9).tolist():
                 yield b * BLOCK + row, float(scores[row])
@@ -114,13 +119,13 @@ class BlockMaxIndex:
         if not len(known):
             return []
         # No passage scores more than the whole text does.
-        if not any(True for _ in self.above(np.unique(ids[known]), THRESHOLD)):
+        if not any(True for _ in self.above(_distinct(ids[known]), THRESHOLD)):
             return []
         hits: dict[int, list[tuple[int, float]]] = {}
         for start in range(0, max(1, len(words) - PART_WORDS), PART_WORDS):
             lo, hi = np.searchsorted(known, (start, start + PASSAGE_WORDS))
             if hi > lo:
-                for entry, score in self.above(np.unique(ids[known[lo:hi]]), THRESHOLD):
+                for entry, score in self.above(_distinct(ids[known[lo:hi]]), THRESHOLD):
                     hits.setdefault(int(self.items[entry]), []).append((start, score))
         out = []
         for item, at in sorted(hits.items()):
@@ -136,6 +141,12 @@ class BlockMaxIndex:
         return out
 
 
+def _distinct(ids: np.ndarray) -> np.ndarray:
+    """np.unique without its overhead, for a few ids at a time."""
+    ids = np.sort(ids)
+    return ids[np.concatenate(([True], ids[1:] != ids[:-1]))]
+
+
 def _overlap(wanted: set, held: set, near: list[str], grams: set | None) -> float:
     """Share of the wanted shingles that the words near hold; shorter ones are looked for as runs of words."""
     if grams is None:
