@@ -65,7 +65,7 @@ def source_tokens(x: Column | str) -> Column:
 
 
 def split_pipe(x: Column | str) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(col(x), F.lit("")), r"\|"), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(F.coalesce(col(x), F.lit("")), r"\|"), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def normalize_newlines(x: Column | str) -> Column:
