@@ -77,7 +77,7 @@ def near_links(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     fingerprints names the members within the radius, and their whole sets of shingles decide. Only a spanning
     set of a shard's links is returned. Shards with over SHARD members are dealt into pairs of chunks, each a
     task's work of bounded size, so that no two members go unseen. Two texts of similarity 0.8 share
-    no anchor with probability below 0.2^4, and differ in over 20 bits with one of about 0.0002.
+    no anchor with probability below 0.2^4, and differ in over 20 bits with one of about 0.0003.
     """
     sets = materialised(_hashed(docs, words, False), "anchors")
     rows = sets.select("class", F.explode("anchors").alias("anchor")).distinct()

@@ -22,8 +22,8 @@ from .token_files import public_path
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-CACHED_CHUNKS = 1_000_000
-CACHED_PAIRS = 2_000_000
+CACHED_CHUNKS = 400_000
+CACHED_PAIRS = 400_000
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
 
@@ -52,7 +52,7 @@ class Pieces(dict):
         self.automaton.make_automaton()
         texts = {i: p.replace(SPACE, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
         self.texts = [texts.get(i, b"" if t == CONTROL else " ⁇ ".encode()) for i, t in enumerate(types)]
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.dtype = np.dtype("<u2" if len(pieces) <= 1 << 16 else "<u4")
 
     @classmethod
@@ -91,11 +91,11 @@ class Pieces(dict):
         return [self.ids[p] for p in part if p]
 
     def fits(self, a: int, b: int) -> bool:
-        found = self.pairs.get((a, b))
+        found = self.pairs.get(a << 24 | b)
         if found is None:
             if len(self.pairs) > CACHED_PAIRS:
                 self.pairs.clear()
-            found = self.pairs[a, b] = self.merged(self.pieces[a] + self.pieces[b]) == [a, b]
+            found = self.pairs[a << 24 | b] = self.merged(self.pieces[a] + self.pieces[b]) == [a, b]
         return found
 
     def best_path(self, text: str) -> list[int]:
@@ -107,7 +107,7 @@ class Pieces(dict):
                 end += 1
                 if last[end] < 0:
                     before = last[end - length]
-                    if end == length or pairs.get((before, i)) or fits(before, i):
+                    if end == length or pairs.get(before << 24 | i) or fits(before, i):
                         last[end], lengths[end] = i, length
         else:
             sums = [0.0] + [-np.inf] * len(text)

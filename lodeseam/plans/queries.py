@@ -58,7 +58,7 @@ def fn_paths(spark, sf):
     )
 
 
-@query(f"WITH {A.PAGES_SQL} SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(path), '([\\p{{L}}\\p{{N}}]+)', 1) || regexp_extract_all(lower(regexp_replace(path, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '([\\p{{L}}\\p{{N}}]+)', 1))), ' ') AS tokens FROM files")
+@query(f"WITH {A.PAGES_SQL} SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(path), '([\\p{{L}}\\p{{N}}]+)', 1) || regexp_extract_all(lower(regexp_replace(path, '([0-9a-z])([A-Z])', '\\1 \\2', 'g')), '([\\p{{L}}\\p{{N}}]+)', 1))), ' ') AS tokens FROM files")
 def fn_source_tokens(spark, sf):
     return A.page_files(spark, sf).select("page_id", F.array_join(F.array_sort(T.source_tokens("path")), " ").alias("tokens"))
 

@@ -286,7 +286,7 @@ def test_sources(spark, tmp_path):
     with pytest.raises(Exception, match="over 0 bytes"):
         files.scan_files(spark, str(tmp_path), [".ts"], limit=0).collect()
     reg = tmp_path / "r.jsonl"
-    reg.write_text('# c\n\n{"id":"a.b","state":"active"}\nnope\n{"id":"c.d","state":"redirect"}\n{"id":"e.f","state":"replaced","by":["a.b"]}\n')
+    reg.write_text("# c\n\n" + "\n".join([json.dumps(dict(id="a.b", state="active")), "nope", json.dumps(dict(id="c.d", state="redirect")), json.dumps(dict(state="replaced", by=["a.b"], id="e.f"))]))
     good, bad = files.read_registry(spark, str(reg))
     assert [(r.id, r.line_no) for r in good.orderBy("line_no").collect()] == [("a.b", 3), ("e.f", 6)]
     assert [(r.line_no, r.message) for r in bad.orderBy("line_no").collect()] == [(4, "invalid JSON"), (5, "redirect without target")]
@@ -295,7 +295,7 @@ def test_sources(spark, tmp_path):
     d, r = files.read_graph_input(spark, str(g))
     assert d.first().id == "r/a" and tuple(r.first()) == ("r/a", "o/b", "calls", None, None, 0.8)
     assert files.deep_merge({"a": {"b": 1, "c": [1]}, "d": 2}, {"a": {"c": [2]}}) == {"a": {"b": 1, "c": [2]}, "d": 2}
-    assert files.manifest_entrypoints('{"main": "./a.js", "exports": {".": {"types": "./t.d.ts", "import": "./b.js"}}}') == ["a.js", "b.js"]
+    assert files.manifest_entrypoints(json.dumps(dict(main="./a.js", exports={".": dict(types="./t.d.ts", default="./b.js")}))) == ["a.js", "b.js"]
 
 
 def test_snapshots_and_stream(spark, tmp_path):
