@@ -43,8 +43,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     rule count as empty; rules without a host are dropped. Repeated pages are judged one by one;
     other columns are not read.
 
-    Each url is expanded into its host suffixes times its path prefixes (of the lengths that occur
-    among the rules). Expressions and rules meet in an equi-join on the first hex digits of
+    Each url is expanded into its host suffixes times its path prefixes (of as many labels and
+    characters as occur among the rules, so that a host of very many labels stays linear). Expressions and rules meet in an equi-join on the first hex digits of
     the SHA-256 digest, and the full digests confirm a match. Up to BROADCAST_RULES rules are
     broadcast; more are joined by a shuffle.
     """
@@ -53,9 +53,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         lower_ascii(F.coalesce("host", F.lit(""))).alias("host"),
         F.coalesce("path", F.lit("")).alias("path"),
     ).where(F.col("host") != "")
-    lengths = bounded_rows(clean.select(F.length("path").alias("n")).distinct(), PATH_LENGTHS)
+    n_labels = F.size(F.split("host", r"\."))
+    numbers = [("path", F.length("path")), ("host", n_labels)]
+    shapes = clean.select(F.explode(F.array(*[F.struct(F.lit(k).alias("of"), n.alias("n")) for k, n in numbers])).alias("s"))
+    lengths = bounded_rows(shapes.select("s.of", "s.n").distinct(), PATH_LENGTHS)
     if lengths is None:
-        raise ValueError(f"rules have paths of over {PATH_LENGTHS} different lengths")
+        raise ValueError(f"rules have hosts and paths of over {PATH_LENGTHS} different lengths")
     digest = F.sha2(F.concat("host", "path"), 256)
     side = clean.select(
         F.substring(digest, 1, SHORT).alias("short"),
@@ -73,12 +76,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         F.monotonically_increasing_id().alias("row"), "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")
     )
     labels = F.split("host", r"\.")
+
+    def taken(of: str) -> Column:
+        return F.array(*[F.lit(n) for n in sorted(n for k, n in lengths if k == of)]).cast("array<int>")
+
     suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
+        F.filter(taken("host"), lambda n: n <= F.size(labels)), lambda n: F.array_join(F.slice(labels, -n, n), ".")
     )
-    taken = F.array(*[F.lit(n) for (n,) in sorted(lengths)]).cast("array<int>")
     prefixes = F.transform(
-        F.filter(taken, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n)
+        F.filter(taken("path"), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n)
     )
     expressions = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
     digests = urls.select(

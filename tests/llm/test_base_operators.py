@@ -197,7 +197,7 @@ def test_token_files_round_trip(spark, sf_dir, tokenizer):
 def test_word_encoder_equals_the_tokenizer(text):
     import numpy as np
 
-    encoder = token_files.WordEncoder(token_files.public_path("word_bpe_49k.json"))
+    encoder = token_files.shared_encoder(token_files.public_path("word_bpe_49k.json"))
     assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -225,7 +225,7 @@ def test_url_filter_odd_urls(spark):
     urls = [
         "http://a.example.NET/en/x?y", "https://example.net", "http://example.net/", "http://notexample.net/en/", "http://b.example.com/de/1#x",
         "http://example.org/fr/", "http://org/fr/", "http://x.org/en/", "no scheme", "", None, "http:///en/", "http://example.net:80/en/",
-        "a://b://c.net/x", "http://x.com?u=http://y.net/", "http://..net/", "http://example.net/en/" + "x" * 50_000, "HTTP://Ä.NET/\nz",
+        "a://b://c.net/x", "http://x.com?u=http://y.net/", "http://..net/", "http://example.net/en/" + "x" * 50_000, "HTTP://Ä.NET/\nz", "http://" + "a." * 20_000 + "net/x",
     ]
     pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls * 2)], "page_id long, url string, host string, verdict string")
     got = url_filter.judge_urls(pages, url_filter.rules_frame(spark)).collect()
