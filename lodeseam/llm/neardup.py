@@ -28,15 +28,15 @@ def same_words(text: Column) -> Column:
 
 
 def _hashed(docs: DataFrame, words: int, whole: bool) -> DataFrame:
-    """class, fp and anchors of docs(class, text), or (whole) class, fp and the set of shingles."""
+    """class, fp of the set of shingles and anchors of docs(class, text), or (whole) class, fp and that set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps, values = [], []
             for text in batch.column("text"):
                 hashes = shingle_hashes(text.as_py(), words)
-                fps.append(fingerprint(hashes))
                 found = np.unique(hashes)
+                fps.append(fingerprint(found))  # of the set, as its similarity decides
                 values.append(np.unique(found.astype("u4")).tobytes() if whole else found[:ANCHORS].view("i8"))
             last = pa.array(values, pa.binary() if whole else pa.list_(pa.int64()))
             columns = [batch.column("class"), pa.array(np.array(fps, "u8").view("i8")), last]

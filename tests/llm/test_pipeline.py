@@ -62,6 +62,16 @@ def test_near_dedup_equals_all_pairs(spark):
         neardup.SHARD = held
 
 
+def test_near_dedup_of_copies_that_repeat_a_line_more_or_less_often(spark):
+    rng, texts = random.Random(4), []
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    for n, length, few, many in ((1000, 15, 1, 30), (1000, 15, 1, 60), (400, 20, 1, 15), (200, 12, 1, 20), (200, 12, 2, 20)):
+        for _ in range(4):
+            base, line = words(n), "\n" + words(length)
+            texts += [base + line * few, base + line * many]
+    assert kept_of(spark, texts) == set(plain_groups(texts)) == set(range(0, len(texts), 2))
+
+
 def test_near_dedup_odd_rows(spark):
     rows = [(None, "a b"), (None, "a b"), (3, "a B"), (3, "a b"), (3, "c"), (3, "c"), (None, "d"), (None, "d")]
     docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, n string, rows string")
