@@ -187,6 +187,30 @@ def test_registry_states(spark):
     assert {r.id for r in graph.cyclic_ids(reg).collect()} == {"c", "d", "e"}
 
 
+def plain_cyclic(links):
+    """Ids that can reach a cycle: what is left after peeling those whose targets are all acyclic."""
+    left = dict(links)
+    while gone := [i for i, to in left.items() if not any(t in left for t in to)]:
+        for i in gone:
+            del left[i]
+    return set(left)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cycles_over_all_replacements(spark, seed):
+    rng = random.Random(seed)
+    rows = [("c", "redirect", "d", []), ("d", "redirect", "c", []), ("m", "replaced", None, ["a", "t"]), ("t", "redirect", "c", []), ("u", "redirect", "m", []), ("a", "active", None, [])]
+    rows += [("v", "replaced", None, ["a", "w"]), ("w", "replaced", None, ["x", "v"]), ("y", "replaced", None, ["a", "gone"]), ("z", "redirect", "y", [])]
+    names = [f"n{i}" for i in range(40)]
+    for i, name in enumerate(names):
+        far = names[i + 1 :] if rng.random() < 0.93 else names
+        by = rng.sample(far, min(len(far), rng.randint(1, 3)))
+        rows.append((name, "replaced", None, by) if by else (name, "active", None, []))
+    reg = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "id string, state string, to string, by array<string>, line_no long")
+    want = plain_cyclic({r[0]: [r[2]] if r[2] else r[3] for r in rows})
+    assert {r.id for r in graph.cyclic_ids(reg).collect()} == want >= set("cdtmuvw") and not want & set("ayz")
+
+
 def test_windows_and_packing(spark):
     content = "\n".join("hit" if i in (10, 20, 60) else "-" for i in range(1, 81))
     f = spark.createDataFrame([("a.ts", content)], "path string, content string")
