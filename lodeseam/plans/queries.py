@@ -334,7 +334,8 @@ SELECT 'doc.d' || e.n AS id, CASE WHEN e.steps < 70 THEN 'doc.d' || e.here END A
        CASE WHEN e.steps >= 70 THEN 'cycle' WHEN r.state IS NULL THEN 'missing' ELSE r.state END AS state, CASE WHEN e.steps < 70 THEN e.steps::BIGINT END AS steps
 FROM ends e LEFT JOIN reg r ON r.n = e.here""")
 def rg_resolution(spark, sf):
-    return graph.registry_resolution(A.document_registry(spark, sf))
+    # As the SQL does: several replacements are ambiguous, also where one of them leads into a cycle.
+    return graph.registry_resolution(A.document_registry(spark, sf), several=False)
 
 
 @query(f"""WITH RECURSIVE {A.REGISTRY_SQL},

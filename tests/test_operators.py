@@ -196,6 +196,16 @@ def plain_cyclic(links):
     return set(left)
 
 
+def test_registry_chains_of_thousands(spark):
+    n = 3000
+    rows = [(f"l{i}", "redirect", f"l{i + 1}" if i < n else "a", []) for i in range(n + 1)] + [("a", "active", None, [])]
+    rows += [(f"k{i}", "redirect", f"k{i + 1}" if i < n else "k2990", []) for i in range(n + 1)]
+    reg = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "id string, state string, to string, by array<string>, line_no long")
+    got = {r.id: (r.state, r.final_id, r.steps) for r in graph.registry_resolution(reg).collect()}
+    assert got["l0"] == ("active", "a", n + 1) and got["l2000"] == ("active", "a", n - 1999)
+    assert {i for i, r in got.items() if r[0] == "cycle"} == {f"k{i}" for i in range(n + 1)} and len(got) == len(rows)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_cycles_over_all_replacements(spark, seed):
     rng = random.Random(seed)
@@ -209,6 +219,9 @@ def test_cycles_over_all_replacements(spark, seed):
     reg = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "id string, state string, to string, by array<string>, line_no long")
     want = plain_cyclic({r[0]: [r[2]] if r[2] else r[3] for r in rows})
     assert {r.id for r in graph.cyclic_ids(reg).collect()} == want >= set("cdtmuvw") and not want & set("ayz")
+    states = {r.id: (r.state, r.final_id) for r in graph.registry_resolution(reg).collect()}
+    assert {i for i, s in states.items() if s[0] == "cycle"} == want and len(states) == len(rows)
+    assert states["z"] == ("ambiguous", "y") and states["u"] == ("cycle", None)
 
 
 def test_windows_and_packing(spark):
