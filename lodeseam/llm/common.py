@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SLICE = 500  # rows of a batch that leave a Python worker together
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,13 +25,15 @@ def text_of(column: str = "text") -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors see: spark.checkpoint.dir of the session.
 
-    Only where the session names none (tests on one machine) a local folder is made.
+    Where it is unset, a temporary folder serves if all runs in this one process; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -43,6 +49,33 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forgotten(df: DataFrame) -> None:
+    """Deletes the files of a materialised table that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        there = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(there, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one like it, that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def kept_rows(docs: DataFrame, keeps: Callable[[str], bool]) -> DataFrame:
+    """docs with the rows whose text keeps() is true of; all columns stay. Null counts as empty. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):
+                some = batch.slice(at, SLICE)
+                yield some.filter(pa.array([keeps(t.as_py() or "") for t in some.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def bounded_rows(df: DataFrame, limit: int) -> list | None:
     """The rows of df if there are at most limit of them, else None."""
     rows = df.limit(limit + 1).collect()

@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import kept_rows, table, text_of
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6  # of an entry's own score
 PART_WORDS = 64
 PASSAGE_WORDS = 2 * PART_WORDS
-SHINGLE = 5
 QUESTION_OVERLAP, ANSWER_OVERLAP = 0.8, 0.5
 BLOCK = 8
 INDEX_ITEMS = 5000  # items in one broadcast index; more items take more passes
@@ -40,8 +40,18 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return [w for c in cuts[:-1] for w in c], cuts[-1]
 
 
-def shingles(words: list[str]) -> set[tuple[str, ...]]:
-    return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
+def in_order(wanted: list[str], text: list[str]) -> float:
+    """Share of the wanted words that stand in the text in that order: their longest common subsequence."""
+    places: dict[str, int] = {}
+    for i, w in enumerate(wanted):
+        places[w] = places.get(w, 0) | 1 << i
+    full = (1 << len(wanted)) - 1
+    free = full  # bit-parallel: a bit is cleared for each word of the subsequence
+    for w in text:
+        if w in places:
+            hit = free & places[w]
+            free = (free + hit | free - hit) & full
+    return 1 - free.bit_count() / len(wanted)
 
 
 def parts_of(words: list[str]) -> list[list[str]]:
@@ -50,61 +60,102 @@ def parts_of(words: list[str]) -> list[list[str]]:
     return [words[len(words) * i // n : len(words) * (i + 1) // n] for i in range(n)]
 
 
+class Statistics:
+    """Over all parts of all items: how many there are, their mean length, and in how many each word is."""
+
+    def __init__(self, counts: dict[str, int], parts: int, words: int):
+        self.counts, self.parts, self.mean = counts, parts, words / max(1, parts)
+
+    @classmethod
+    def of(cls, texts: Iterable[str]) -> Statistics:
+        parts = [p for t in texts for p in parts_of(words_of(t))]
+        return cls(Counter(w for p in parts for w in set(p)), len(parts), sum(map(len, parts)))
+
+    def impacts(self, part: list[str]) -> dict[str, float]:
+        """BM25 weights of the words of a part, as shares of the part's own score."""
+        length = K1 * (1 - B + B * len(part) / self.mean)
+        out = {}
+        for w, n in Counter(part).items():
+            df = self.counts[w]
+            out[w] = math.log(1 + (self.parts - df + 0.5) / (df + 0.5)) * n * (K1 + 1) / (n + length)
+        total = sum(out.values())
+        return {w: x / total for w, x in out.items()}
+
+
 class BlockMaxIndex:
-    """Impacts of terms on entries as shares of the entry's own score, with their maxima in each block of entries."""
+    """Postings of words (entry and impact) in order of entry, with the largest impact in each block of entries.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    An entry is a part of an item. The weights come from the statistics of all items, so that a
+    benchmark in several indexes scores as one in a single index does.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], statistics: Statistics | None = None):
+        statistics = statistics or Statistics.of(t for _, t in items)
         entries = [(item, part) for item, text in items for part in parts_of(words_of(text))]
-        self.items = np.array([i for i, _ in entries], "i8")
+        self.items = [i for i, _ in entries]
         self.checks = {item: question_and_answer(text) for item, text in items}
         self.spans = {item: len(words_of(text)) for item, text in items}
-        counts = [Counter(p) for _, p in entries]
         self.ids: dict[str, int] = {}
-        for c in counts:
-            for w in c:
-                self.ids.setdefault(w, len(self.ids))
-        df = Counter(w for c in counts for w in c)
-        mean = sum(len(p) for _, p in entries) / max(1, len(entries))
-        terms, rows, values = [], [], []
-        for row, ((_, part), c) in enumerate(zip(entries, counts, strict=True)):
-            share = {
-                w: np.log(1 + (len(entries) - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(part) / mean))
-                for w, n in c.items()
-            }
-            total = sum(share.values())
-            for w, x in share.items():
-                terms.append(self.ids[w])
-                rows.append(row)
-                values.append(x / total)
+        postings: list[list[tuple[int, float]]] = []
+        for row, (_, part) in enumerate(entries):
+            for w, x in statistics.impacts(part).items():
+                if self.ids.setdefault(w, len(self.ids)) == len(postings):
+                    postings.append([])
+                postings[self.ids[w]].append((row, x))
         self.entries, self.blocks = len(entries), -(-len(entries) // BLOCK)
-        order = np.lexsort((rows, terms))
-        self.terms, self.rows, self.values = np.array(terms, "i4")[order], np.array(rows, "i4")[order], np.array(values, "f8")[order]
-        block = self.rows // BLOCK
-        first = np.flatnonzero(np.concatenate(([True], (np.diff(self.terms) != 0) | (np.diff(block) != 0)))) if len(block) else np.empty(0, "i8")
-        self.block_of, self.block_max = block[first], np.maximum.reduceat(self.values, first) if len(first) else self.values
-        self.starts = np.searchsorted(self.terms[first], np.arange(len(self.ids) + 1))
-        # The entries of a block, by term: read only where the maxima reach the threshold.
-        by_block = np.lexsort((self.terms, block))
-        self.block_terms, self.block_rows, self.block_values = self.terms[by_block], self.rows[by_block] % BLOCK, self.values[by_block]
-        self.block_starts = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
+        #: All postings, word by word, and the runs of them in one block: block, maximum and first posting of each
+        self.rows, self.values = ([p[k] for of in postings for p in of] for k in (0, 1))
+        terms = np.repeat(np.arange(len(postings)), [len(of) for of in postings])
+        block = np.array(self.rows, "i8") // BLOCK
+        first = np.flatnonzero(np.diff(terms * (self.blocks + 1) + block, prepend=-1))
+        self.run_block, self.run_max = block[first], np.maximum.reduceat(self.values, first) if len(first) else np.empty(0)
+        self.run_start = [*first.tolist(), len(self.rows)]
+        self.starts = np.searchsorted(terms[first], np.arange(len(postings) + 1))
 
     def above(self, terms: np.ndarray, threshold: float) -> Iterator[tuple[int, float]]:
-        """Entries that a passage of these distinct terms scores at the threshold or more."""
+        """Entries that a passage of these distinct words scores at the threshold or more.
+
+        Sums of block maxima leave out the blocks that cannot reach it; the others are searched by wand().
+        """
         starts = self.starts[terms]
         n = self.starts[terms + 1] - starts
         ends = np.cumsum(n)
-        at = np.repeat(starts - ends + n, n) + np.arange(ends[-1])
-        bounds = np.bincount(self.block_of[at], self.block_max[at], self.blocks)
-        reached = np.flatnonzero(bounds >= threshold - 1e-9).tolist()
-        if reached:
-            held = np.zeros(len(self.ids), bool)
-            held[terms] = True
-        for b in reached:
-            here = slice(self.block_starts[b], self.block_starts[b + 1])
-            found = held[self.block_terms[here]]
-            scores = np.bincount(self.block_rows[here][found], self.block_values[here][found], BLOCK)
-            for row in np.flatnonzero(scores >= threshold - 1e-9).tolist():
-                yield b * BLOCK + row, float(scores[row])
+        runs = np.repeat(starts - ends + n, n) + np.arange(ends[-1])
+        blocks = self.run_block[runs]
+        bounds = np.bincount(blocks, self.run_max[runs], self.blocks)
+        for b in np.flatnonzero(bounds >= threshold - 1e-9).tolist():
+            yield from self.wand(runs[blocks == b].tolist(), threshold)
+
+    def wand(self, runs: list[int], threshold: float) -> Iterator[tuple[int, float]]:
+        """Entries of one block at the threshold or more, by cursors over the runs of the passage's words in it.
+
+        Cursors are kept in order of their entries. The first at which the maxima so far reach
+        the threshold is the pivot: no entry before it can. Cursors behind skip to the pivot, and only when
+        all of them stand there is the entry scored.
+        """
+        rows, values, start = self.rows, self.values, self.run_start
+        cursors = [[rows[start[r]], start[r], start[r + 1], float(self.run_max[r])] for r in runs]
+        while cursors:
+            cursors.sort()
+            bound, pivot = 0.0, -1
+            for c in cursors:
+                bound += c[3]
+                if bound >= threshold - 1e-9:
+                    pivot = c[0]
+                    break
+            if pivot < 0:
+                return
+            after = pivot
+            if cursors[0][0] == pivot:
+                score = sum(values[c[1]] for c in cursors if c[0] == pivot)
+                if score >= threshold - 1e-9:
+                    yield pivot, score
+                after += 1
+            for c in cursors:
+                if c[0] < after:
+                    c[1] = bisect_left(rows, after, c[1], c[2])
+                    c[0] = rows[c[1]] if c[1] < c[2] else -1
+            cursors = [c for c in cursors if c[0] >= 0]
 
     def search(self, text: str) -> list[tuple[int, float, float, float]]:
         """item, best score, overlap of question and answer: the verified items of a text, in order of item.
@@ -116,30 +167,31 @@ class BlockMaxIndex:
             return []
         ids = np.fromiter(map(self.ids.get, words, [-1] * len(words)), "i4", len(words))
         known = np.flatnonzero(ids >= 0)
-        if not len(known):
-            return []
         # No passage scores more than the whole text does.
-        if not any(True for _ in self.above(_distinct(ids[known]), THRESHOLD)):
+        if not len(known) or not any(True for _ in self.above(_distinct(ids[known]), THRESHOLD)):
             return []
         hits: dict[int, list[tuple[int, float]]] = {}
         for start in range(0, max(1, len(words) - PART_WORDS), PART_WORDS):
             lo, hi = np.searchsorted(known, (start, start + PASSAGE_WORDS))
             if hi > lo:
                 for entry, score in self.above(_distinct(ids[known[lo:hi]]), THRESHOLD):
-                    hits.setdefault(int(self.items[entry]), []).append((start, score))
+                    hits.setdefault(self.items[entry], []).append((start, score))
         out = []
         for item, at in sorted(hits.items()):
-            best = (0.0, 0.0)
-            question, answer = (shingles(x) for x in self.checks[item])
-            for start, _ in at:
-                near = words[max(0, start - self.spans[item]) : start + PASSAGE_WORDS + self.spans[item]]
-                held = shingles(near)
-                grams = held if len(self.checks[item][1]) >= SHINGLE and len(self.checks[item][0]) >= SHINGLE else None
-                best = max(best, tuple(_overlap(x, held, near, grams) for x in (question, answer)))
-            if best[0] >= QUESTION_OVERLAP and best[1] >= ANSWER_OVERLAP:
-                out.append((item, max(s for _, s in at), *best))
+            question, answer = max(self._overlaps(item, words, start) for start, _ in at)
+            if question >= QUESTION_OVERLAP and answer >= ANSWER_OVERLAP:
+                out.append((item, max(s for _, s in at), question, answer))
         return out
 
+    def _overlaps(self, item, words: list[str], start: int) -> tuple[float, float]:
+        """Of question and answer of an item, where they overlap most with the words around a passage."""
+        span, (question, answer) = self.spans[item], self.checks[item]
+        best, reach = (0.0, 0.0), span + span // 4 + 4
+        for at in range(max(0, start - span), start + PASSAGE_WORDS, max(1, span // 8)):
+            near = words[at : at + reach]
+            best = max(best, (in_order(question, near), in_order(answer, near)))
+        return best
+
 
 def _distinct(ids: np.ndarray) -> np.ndarray:
     """np.unique without its overhead, for a few ids at a time."""
@@ -147,40 +199,47 @@ def _distinct(ids: np.ndarray) -> np.ndarray:
     return ids[np.concatenate(([True], ids[1:] != ids[:-1]))]
 
 
-def _overlap(wanted: set, held: set, near: list[str], grams: set | None) -> float:
-    """Share of the wanted shingles that the words near hold; shorter ones are looked for as runs of words."""
-    if grams is None:
-        line = " " + " ".join(near) + " "
-        return sum(g in held or len(g) < SHINGLE and f" {' '.join(g)} " in line for g in wanted) / len(wanted)
-    return len(wanted & held) / len(wanted)
+def _statistics(items: DataFrame) -> Statistics:
+    """Counted in one pass; to the driver come the distinct words of the benchmark."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one = Statistics.of(t.as_py() for t in batch.column("text"))
+            # Words never are empty or blank: these two names are free for the sums.
+            sums = one.counts | {"": one.parts, " ": round(one.mean * one.parts)}
+            yield pa.RecordBatch.from_pydict({"word": pa.array(list(sums), pa.string()), "n": pa.array(list(sums.values()), pa.int64())})
+
+    found = {r["word"]: r["n"] for r in items.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    return Statistics(found, found.pop("", 0), found.pop(" ", 0))
 
 
 def _indexes(benchmark: DataFrame) -> Iterator[BlockMaxIndex]:
-    """Indexes of bounded size that cover all items, fetched one after another."""
+    """Indexes of bounded size that cover all items, fetched one after another; none for no item."""
     items: list[tuple[int, str]] = []
     chars = 0
-    rows = benchmark.select("item_id", text_of().alias("text")).where("item_id IS NOT NULL").distinct().orderBy("item_id", "text")
+    rows = benchmark.select("item_id", text_of().alias("text")).where("item_id IS NOT NULL").distinct()
+    statistics = _statistics(rows)
     seen: set[int] = set()
-    for item, text in rows.toLocalIterator():
+    for item, text in rows.orderBy("item_id", "text").toLocalIterator():
         if items and (len(items) >= INDEX_ITEMS or chars > INDEX_CHARS or item in seen):
-            yield BlockMaxIndex(items)
+            yield BlockMaxIndex(items, statistics)
             items, chars, seen = [], 0, set()
         items.append((item, text))
         seen.add(item)
         chars += len(text)
-    yield BlockMaxIndex(items)
+    yield BlockMaxIndex(items, statistics)
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: items of benchmark(item_id, text) in docs(doc_id, text).
 
     Every passage of every text is asked about: all entries whose BM25 score is THRESHOLD of their own score or more
-    are retrieved, block by block where the block maxima allow that much, and an item counts if
-    the words around hold QUESTION_OVERLAP and ANSWER_OVERLAP of its five-word shingles. Case and
+    are retrieved by block-max WAND, and an item counts if so many of the words of its question (QUESTION_OVERLAP)
+    and of its answer (ANSWER_OVERLAP) stand nearby in their order. Case and
     punctuation don't matter. Null and empty texts, and items without words, match nothing; items with a null id are left
     out; repeated rows are answered one by one; other columns aren't read. Documents aren't
     shuffled. An index holds INDEX_ITEMS items at most and is broadcast; a larger benchmark takes
-    several passes.
+    several passes, with the same rows: weights come from the statistics of all items.
     """
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double"
@@ -204,16 +263,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose text holds a benchmark item; all columns stay. Rules as contaminations()."""
-
-    def without(shared):
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series) -> pd.Series:
-            return pd.Series([not shared.value.search(t) for t in texts], dtype=bool)
-
-        return clean(text_of())
-
     for index in _indexes(benchmark):
-        docs = docs.where(without(docs.sparkSession.sparkContext.broadcast(index)))
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        docs = kept_rows(docs, lambda text, shared=shared: not shared.value.search(text))
     return docs
 
 

@@ -8,12 +8,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialised, table, text_of
+from .common import kept_rows, materialised, table, text_of
 
 PER_CLASS = 2000  # labelled examples of each class in the index
 NEIGHBOURS = 16
@@ -211,11 +210,7 @@ def drop_toxic(docs: DataFrame, examples: Examples) -> DataFrame:
     """docs without the rows whose text is predicted toxic; all columns stay. Rules as toxicity_scores()."""
     shared = docs.sparkSession.sparkContext.broadcast(examples)
 
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.score(t)[0] < 0.5 for t in texts], dtype=bool)
-
-    return docs.where(clean(text_of()))
+    return kept_rows(docs, lambda text: shared.value.score(text)[0] < 0.5)
 
 
 def op6_toxicity(spark, sf_dir):
