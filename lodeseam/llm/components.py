@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialised
+from .common import forgotten, materialised
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -30,8 +30,9 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = materialised(edges, "links")
+        shorter = small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        last, edges = edges, materialised(shorter, "links")
         before, now = now, _state(edges)
+        forgotten(last)
     roots = edges.groupBy("u").agg(F.min("v").alias("m"))
     return nodes.join(roots, "u", "left").select(F.col("u").alias("node"), F.coalesce("m", "u").alias("component"))

@@ -2,110 +2,160 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialised, text_of
+from .common import materialised, text_of, unused
 from .components import components
 from .simhash import BKTree, _runs, fingerprint, shingle_hashes, spanning
-from .url_filter import lower_ascii
 
 WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 20
 ANCHORS = 4
-SHARD = 2048
+SHARD = 2048  # members of a shard
+SHARD_SHINGLES = 2_000_000  # and their shingles
+SLICE = 256
 
 
-def same_words(text: Column) -> Column:
-    """Digest of the words of a text: ASCII white space and the case of A-Z don't count."""
-    return F.md5(F.trim(F.regexp_replace(lower_ascii(text), "[\\x20\\x09-\\x0D]+", " ")))
+def _hashed(docs: DataFrame, words: int) -> DataFrame:
+    """row, doc_id, key, class, fp, size, a0 to a3, shingles of each row of docs(doc_id, text).
 
-
-def _hashed(docs: DataFrame, words: int, whole: bool) -> DataFrame:
-    """class, fp of the set of shingles and anchors of docs(class, text), or (whole) class, fp and that set."""
+    key: XXH64 of the text; class: digest of its words (ASCII white space and the case of A-Z don't count); fp: SimHash of
+    the set of shingles, as its similarity decides; a0 to a3: the smallest hashes of the set; shingles: the set,
+    as hashes of 32 bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, values = [], []
-            for text in batch.column("text"):
-                hashes = shingle_hashes(text.as_py(), words)
-                found = np.unique(hashes)
-                fps.append(fingerprint(found))  # of the set, as its similarity decides
-                values.append(np.unique(found.astype("u4")).tobytes() if whole else found[:ANCHORS].view("i8"))
-            last = pa.array(values, pa.binary() if whole else pa.list_(pa.int64()))
-            columns = [batch.column("class"), pa.array(np.array(fps, "u8").view("i8")), last]
-            yield pa.RecordBatch.from_arrays(columns, ["class", "fp", "shingles" if whole else "anchors"])
-
-    schema = "class string, fp long, " + ("shingles binary" if whole else "anchors array<long>")
-    return docs.select("class", "text").mapInArrow(run, schema)
+            for at in range(0, len(batch), SLICE):
+                some = batch.slice(at, SLICE)
+                names, fps, sizes, values, anchors = [], [], [], [], np.zeros((len(some), ANCHORS), "u8")
+                held = np.zeros((len(some), ANCHORS), bool)
+                for i, text in enumerate(some.column("text")):
+                    text = text.as_py()
+                    names.append(hashlib.md5(b" ".join(text.encode("utf-8", "replace").lower().split())).digest())
+                    found = np.unique(shingle_hashes(text, words))
+                    fps.append(fingerprint(found))
+                    n = min(len(found), ANCHORS)
+                    anchors[i, :n], held[i, :n] = found[:n], True
+                    short = np.unique(found.astype("u4"))
+                    sizes.append(len(short))
+                    values.append(short.tobytes())
+                columns = [some.column(c) for c in ("row", "doc_id", "key")]
+                columns += [pa.array(names, pa.binary()), pa.array(np.array(fps, "u8").view("i8")), pa.array(sizes, pa.int32())]
+                columns += [pa.array(anchors[:, k].view("i8"), mask=~held[:, k]) for k in range(ANCHORS)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(values, pa.binary())], schema_names)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    fields = ["row long", f"doc_id {kind}", "key long", "class binary", "fp long", "size int", *(f"a{k} long" for k in range(ANCHORS)), "shingles binary"]
+    schema_names = [f.split(" ")[0] for f in fields]
+    rows = docs.select("doc_id", text_of().alias("text")).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("key"), "text")
+    return rows.mapInArrow(run, ", ".join(fields))
 
 
 def _search(frames: Iterator[pd.DataFrame], radius: int, similarity: float) -> Iterator[pd.DataFrame]:
-    for names, fps, raw in _runs(frames, ["anchor", "i", "j"], ["class", "fp", "shingles"]):
+    for rows, labels, fps, raw in _runs(frames, ["anchor", "part"], ["row", "label", "fp", "shingles"]):
+        groups = np.unique(labels, return_inverse=True)[1]
+        if not groups.any():
+            continue
         sets = [np.frombuffer(x, "u4") for x in raw]
         sizes = np.array([len(s) for s in sets])
         ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        held, state = np.zeros(int(ids.max()) + 1, bool), {"node": -1, "common": sizes}
-
-        def similar(a: int, b: int, ids=ids, starts=starts, sizes=sizes, held=held, state=state) -> bool:
-            if min(sizes[a], sizes[b]) < similarity * max(sizes[a], sizes[b]):
-                return False
-            if state["node"] != a:  # how many shingles a shares with each member, once for all
-                held[:] = False
-                held[ids[starts[a] : starts[a] + sizes[a]]] = True
-                state |= {"node": a, "common": np.add.reduceat(held[ids], starts, dtype="i8")}
-            common = state["common"][b]
-            return common >= similarity * (sizes[a] + sizes[b] - common) - 1e-9
+        starts = np.cumsum(sizes) - sizes
+        held = np.zeros(int(ids.max(initial=0)) + 1, bool)
+
+        def similar(a: int, others: np.ndarray, ids=ids, starts=starts, sizes=sizes, held=held) -> np.ndarray:
+            """Which of the others have that similarity with a."""
+            low, high = np.minimum(sizes[a], sizes[others]), np.maximum(sizes[a], sizes[others])
+            out = low >= similarity * high
+            some = others[out & (sizes[others] > 0)]
+            if sizes[a] and len(some):
+                mine = ids[starts[a] : starts[a] + sizes[a]]
+                held[mine] = True
+                n = sizes[some]
+                first = np.cumsum(n) - n
+                every = np.repeat(starts[some] - first, n) + np.arange(int(n.sum()))
+                common = np.add.reduceat(held[ids[every]], first, dtype="i8")
+                held[mine] = False
+                out[np.isin(others, some, assume_unique=True)] = common >= similarity * (sizes[a] + n - common) - 1e-9
+            return out
 
         keys = fps.view("u8")
-        links = spanning(len(keys), BKTree(keys).within(keys, radius), similar)
+        links = spanning(len(keys), BKTree(keys).within(keys, radius), similar, groups)
         if links:
-            yield pd.DataFrame({"u": names[[a for a, _ in links]], "v": names[[b for _, b in links]]})
+            yield pd.DataFrame({"u": rows[[a for a, _ in links]], "v": rows[[b for _, b in links]]})
+
+
+def _links(shards: DataFrame, sets: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """u, v: a spanning set of the links between different labels in each shard of shards(anchor, part, row, label)."""
+    full = shards.join(sets.select("row", "fp", "shingles"), "row").repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    return full.mapInPandas(lambda frames: _search(frames, radius, similarity), "u long, v long")
+
+
+def _cut(n, shingles):
+    """In how many chunks so many members with so many shingles are dealt."""
+    return F.greatest(F.ceil(n / F.lit(SHARD)), F.ceil(shingles / F.lit(SHARD_SHINGLES)), F.lit(1)).cast("int")
 
 
-def near_links(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """u, v: links between classes of docs(class, text) whose shingle sets have a Jaccard similarity of at least that.
+def near_links(sets: DataFrame, classes: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """u, v: links between the rows of classes(row, size, a0 to a3) whose sets have a Jaccard similarity of at least that.
 
     Texts are in a shard for each of their ANCHORS smallest shingle hashes. In a shard, a BK-tree over the SimHash
-    fingerprints names the members within the radius, and their whole sets of shingles decide. Only a spanning
-    set of a shard's links is returned. Shards with over SHARD members are dealt into pairs of chunks, each a
-    task's work of bounded size, so that no two members go unseen. Two texts of similarity 0.8 share
-    no anchor with probability below 0.2^4, and differ in over 20 bits with one of about 0.0003.
+    fingerprints names the members within the radius, and their whole sets of shingles decide. First come the shards of the
+    smallest hash alone, which join most copies; of all other shards only those follow that still hold several
+    groups. Shards with over SHARD members (or SHARD_SHINGLES shingles) are dealt into chunks, and pairs of chunks are each a task's
+    work of bounded size, so that no two members of different groups go unseen; a group that fills chunks of
+    its own is not compared with itself again. Two texts of similarity 0.8 share no anchor with a probability below 0.2^4, and differ in
+    over 20 bits with one of about 0.0003.
     """
-    sets = materialised(_hashed(docs, words, False), "anchors")
-    rows = sets.select("class", F.explode("anchors").alias("anchor")).distinct()
-    shared = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(shared, "anchor").withColumn("chunks", F.ceil(F.col("n") / SHARD).cast("int"))
-    rows = materialised(rows, "shards")
-    own = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("class", "anchor", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    wanted = docs.join(rows.select("class").distinct(), "class", "left_semi")
-    full = materialised(_hashed(wanted, words, True), "shingles")
-    shards = rows.join(full, "class").repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
-    return shards.mapInPandas(lambda frames: _search(frames, radius, similarity), "u string, v string")
+    each = F.explode(F.array(*[F.struct(F.col(f"a{k}").alias("anchor"), F.lit(k == 0).alias("least")) for k in range(ANCHORS)]))
+    rows = classes.select("row", "size", each.alias("e")).select("row", "size", "e.anchor", "e.least").where("anchor IS NOT NULL")
+    sums = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where("n > 1")
+    rows = materialised(rows.join(sums, "anchor"), "anchors")
+    chunk = F.pmod(F.xxhash64("row"), _cut(F.col("n"), F.col("shingles"))).cast("long")
+    early = rows.where("least").select("anchor", chunk.alias("part"), "row", F.col("row").alias("label"))
+    early = materialised(_links(early, sets, radius, similarity), "early")
+    known = components(early).select(F.col("node").alias("row"), "component")
+
+    labelled = rows.join(known, "row", "left").withColumn("label", F.coalesce("component", "row"))
+    mixed = labelled.groupBy("anchor").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("anchor")
+    labelled = materialised(labelled.join(mixed, "anchor").select("anchor", "row", "label", "size", "n", "shingles"), "labelled")
+    is_hot = (F.col("n") > SHARD) | (F.col("shingles") > SHARD_SHINGLES)
+    cold = labelled.where(~is_hot).select("anchor", F.lit(0).cast("long").alias("part"), "row", "label")
+    hot = labelled.where(is_hot).drop("n", "shingles")
+    weights = hot.groupBy("anchor", "label").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    big = (F.col("n") > SHARD // 2) | (F.col("shingles") > SHARD_SHINGLES // 2)
+    large = weights.where(big).select("anchor", "label", F.col("label").alias("own"), _cut(F.col("n"), F.col("shingles")).alias("own_chunks"))
+    rest = weights.where(~big).groupBy("anchor").agg(_cut(F.sum("n"), F.sum("shingles")).alias("chunks"))
+    dealt = hot.join(large, ["anchor", "label"], "left").join(rest, "anchor", "left")
+    chunk = F.pmod(F.xxhash64("row"), F.coalesce("own_chunks", "chunks")).cast("int")
+    dealt = materialised(dealt.select("anchor", "row", "label", F.struct(F.col("own").isNull().alias("rest"), F.coalesce("own", F.lit(0)).alias("own"), chunk.alias("k")).alias("c")), "dealt")
+    names = dealt.select("anchor", "c").distinct()
+    two = names.join(names.select("anchor", F.col("c").alias("d")), "anchor").where("c <= d AND (c.rest OR d.rest OR c.own <> d.own)")
+    two = two.withColumn("part", F.xxhash64("c", "d"))
+    asked = two.select("anchor", "c", "part").union(two.select("anchor", "d", "part")).distinct()
+    pairs = dealt.join(asked, ["anchor", "c"]).select("anchor", "part", "row", "label")
+    return early.union(_links(cold.union(pairs), sets, radius, similarity))
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """One row for each different (doc_id, class) of docs: doc_id, class, n (rows), group (smallest class reached).
+    """doc_id, key (XXH64 of the text), group of each row of docs: the least row number that it reaches by links.
 
     Texts with the same words are of one class from the start, and one of them stands for it.
     """
-    keyed = docs.select("doc_id", same_words(text_of()).alias("class"))
-    ids = materialised(keyed.groupBy("doc_id", "class").agg(F.count("*").alias("n")), "classes")
-    first = ids.groupBy("class").agg(F.min("doc_id").alias("first"))
-    texts = docs.select(F.col("doc_id").alias("id"), text_of().alias("text"), same_words(text_of()).alias("name"))
-    chosen = texts.join(first, (F.col("name") == F.col("class")) & F.col("id").eqNullSafe(F.col("first")))
-    chosen = chosen.select("class", "text")
-    roots = components(near_links(chosen, words, similarity))
-    return ids.join(roots, F.col("class") == F.col("node"), "left").select("doc_id", "class", "n", F.coalesce("component", "class").alias("group"))
+    sets = materialised(_hashed(docs, words), "sets")
+    same = [F.min(c).alias(c) for c in ("row", "size", *(f"a{k}" for k in range(ANCHORS)))]
+    classes = materialised(sets.groupBy("class").agg(*same), "classes")
+    roots = components(near_links(sets, classes, similarity)).select(F.col("node").alias("row"), "component")
+    named = classes.select("class", "row").join(roots, "row", "left").select("class", F.coalesce("component", "row").alias("group"))
+    return sets.select("doc_id", "key", "class").join(named, "class").select("doc_id", "key", "group")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -116,17 +166,18 @@ def drop_near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float
     doc_id and the same words one stays; rows with one doc_id and other words are texts of their own.
     """
     groups = materialised(near_groups(docs, words, similarity), "groups")
-    best = F.min_by(F.struct("doc_id", "class"), F.struct(F.col("doc_id").isNull(), "doc_id", "class"))
-    kept = groups.groupBy("group").agg(best.alias("kept"), F.sum("n").alias("rows")).where("rows > 1")
-    lost = groups.join(kept, "group").where(
-        ~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("class") == F.col("kept.class")))
-    )
-    lost = lost.select(F.col("doc_id").alias("__lost_id"), F.col("class").alias("__lost_class"))
-    keyed = docs.withColumn("__class", same_words(text_of()))
-    out = keyed.join(lost, (F.col("__class") == F.col("__lost_class")) & F.col("doc_id").eqNullSafe(F.col("__lost_id")), "left_anti")
-    again = groups.where("n > 1").select(F.col("doc_id").alias("__lost_id"), F.col("class").alias("__lost_class"))
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("kept")
+    kept = groups.groupBy("group").agg(best, F.count("*").alias("rows")).where("rows > 1")
+    held = groups.join(kept, "group")
+    stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("key") == F.col("kept.key"))
+    lost_id, lost_key, key = (unused(docs, n) for n in ("lost_id", "lost_key", "text_key"))
+    keyed = docs.withColumn(key, F.xxhash64(text_of()))
+    same = F.col("doc_id").eqNullSafe(F.col(lost_id)) & (F.col(key) == F.col(lost_key))
+    lost = held.where(~stays).select(F.col("doc_id").alias(lost_id), F.col("key").alias(lost_key))
+    out = keyed.join(lost, same, "left_anti")
+    again = held.where(stays).groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(lost_id), F.col("key").alias(lost_key))
+    again = materialised(again, "repeated")
     if not again.isEmpty():
-        same = (F.col("__class") == F.col("__lost_class")) & F.col("doc_id").eqNullSafe(F.col("__lost_id"))
-        one = out.join(again, same, "left_semi").dropDuplicates(["doc_id", "__class"])
+        one = out.join(again, same, "left_semi").dropDuplicates(["doc_id", key])
         out = out.join(again, same, "left_anti").unionByName(one)
-    return out.drop("__class")
+    return out.drop(key)

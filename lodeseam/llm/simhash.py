@@ -90,22 +90,29 @@ class BKTree:
                     stack.append((self._node(members), down))
 
 
-def find(parent: list[int], i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
-
-
-def spanning(n: int, pairs: Iterator[tuple[int, np.ndarray]], links: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
-    """Links that join the same members as all pairs do; links() is asked about pairs not yet joined only."""
-    parent, out = list(range(n)), []
+def spanning(
+    n: int,
+    pairs: Iterator[tuple[int, np.ndarray]],
+    links: Callable[[int, np.ndarray], np.ndarray] | None = None,
+    groups: np.ndarray | None = None,
+) -> list[tuple[int, int]]:
+    """Links that join the same members as all pairs do; links() is asked about pairs not yet joined only.
+
+    groups: numbers of groups whose members count as joined from the start.
+    """
+    group, out = np.arange(n) if groups is None else np.array(groups), []
+    left = len(np.unique(group))
     for a, others in pairs:
-        for b in others.tolist():
-            x, y = find(parent, int(a)), find(parent, b)
-            if x != y and (links is None or links(int(a), b)):
-                parent[max(x, y)] = min(x, y)
-                out.append((int(a), b))
+        others = others[group[others] != group[a]]
+        if links is not None and len(others):
+            others = others[links(int(a), others)]
+        while len(others):
+            out.append((int(a), int(others[0])))
+            group[group == group[others[0]]] = group[a]
+            others = others[group[others] != group[a]]
+            left -= 1
+        if left == 1:
+            break
     return out
 
 
