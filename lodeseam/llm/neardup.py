@@ -167,7 +167,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float
     """
     groups = materialised(near_groups(docs, words, similarity), "groups")
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("kept")
-    kept = groups.groupBy("group").agg(best, F.count("*").alias("rows")).where("rows > 1")
+    # Written, so that the join deals both sides anew and a large group can be split.
+    kept = materialised(groups.groupBy("group").agg(best, F.count("*").alias("rows")).where("rows > 1"), "kept")
     held = groups.join(kept, "group")
     stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("key") == F.col("kept.key"))
     lost_id, lost_key, key = (unused(docs, n) for n in ("lost_id", "lost_key", "text_key"))
