@@ -1,8 +1,9 @@
 """Exact dedup by content sort.
 
-Rows are range-partitioned by sampled splitters on the leading characters and the digest of the
-text, sorted externally, and each text is compared in full with its neighbour. A run of equal
-neighbours is a group. A text with more than hot_rows copies is spread over several sub-runs,
+Sampled splitters range-partition the rows by the leading characters of the normalised text, an external sort
+brings equal texts together, and each text is compared in full with its neighbour. A run of
+equal neighbours is a group. Digests never decide: where very many texts begin alike, a hash of the whole text says
+only which range a row goes to. A text with more than hot_rows copies is spread over sub-runs,
 whose first texts are compared in full again to merge them.
 """
 
@@ -11,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, table, text_of
+from .common import small_side, table, text_of
 
-LEAD = 32
+LEAD = 64
 
 
 def exact_dedup(
@@ -31,39 +32,39 @@ def exact_dedup(
     is kept. An empty table gives an empty table; other columns of docs are not read.
     """
     largest = {"smallest": False, "largest": True}[keep]
-    base = docs.select(F.col("doc_id"), normalise(text_of()).alias("text"))
-    keyed = base.select(
-        "doc_id",
-        "text",
-        F.substring("text", 1, LEAD).alias("lead"),
-        F.sha2("text", 256).alias("sha"),
-    )
-    hot = keyed.groupBy("sha").agg(F.count("*").alias("copies")).where(F.col("copies") > hot_rows)
-    found = bounded_rows(hot, broadcast_rows)
-    if found == []:
-        return _runs(keyed, ["lead", "sha"], largest, lambda rows: rows)
-    sub_runs = sum(-(-r["copies"] // hot_rows) for r in found or [])
-    if found:
-        hot = F.broadcast(docs.sparkSession.createDataFrame(found, hot.schema))
-    salted = keyed.join(hot, "sha", "left").withColumn(
+    keyed = docs.select(F.col("doc_id"), normalise(text_of()).alias("text"))
+    keyed = keyed.select("doc_id", "text", F.substring("text", 1, LEAD).alias("lead"))
+    full = F.xxhash64("text")
+    begins = keyed.groupBy("lead").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("lead", F.lit(True).alias("spread"))
+    begins, n_begins = small_side(begins, broadcast_rows)
+    if n_begins == 0:
+        return _runs(keyed, ["lead"], largest, lambda rows: rows)
+    # Where many texts begin alike, the hash spreads them over ranges of their own.
+    placed = keyed.join(begins, "lead", "left").withColumn("place", F.when(F.col("spread"), full).otherwise(0)).drop("spread")
+    hot = placed.where("place <> 0").groupBy("lead", "place").agg(F.count("*").alias("copies")).where(F.col("copies") > hot_rows)
+    sub_runs = hot.agg(F.coalesce(F.sum(F.ceil(F.col("copies") / hot_rows)), F.lit(0))).first()[0]
+    if not sub_runs:
+        return _runs(placed, ["lead", "place"], largest, lambda rows: rows)
+    hot, _ = small_side(hot, broadcast_rows)
+    salted = placed.join(hot, ["lead", "place"], "left").withColumn(
         "salt",
         F.when(F.col("copies").isNull(), 0).otherwise(
             F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("copies") / hot_rows)).cast("int")
         ),
     )
-    keys = ["lead", "sha", "salt"]
+    keys = ["lead", "place", "salt"]
     merged = _merged(_compared(salted.where(F.col("copies").isNotNull()), keys), largest)
-    merged = F.broadcast(merged) if 0 < sub_runs <= broadcast_rows else merged
+    merged = F.broadcast(merged) if sub_runs <= broadcast_rows else merged
 
     def joined(rows: DataFrame) -> DataFrame:
-        both = rows.join(merged, ["sha", "salt", "run"], "left")
+        both = rows.join(merged, [*keys, "run"], "left")
         return both.withColumns({x: F.coalesce(f"all_{x}", x) for x in ("group_size", "keep_id")})
 
     return _runs(salted.drop("copies"), keys, largest, joined)
 
 
 def _compared(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds first (the text differs from its neighbour's) and run (number of runs so far).
+    """Adds first (the text differs from its neighbour's) and run (number of runs so far), rows sorted by text.
 
     The windows ask for no exchange beyond the range partitioning, as their keys are its keys.
     """
@@ -83,11 +84,12 @@ def _ends(largest: bool) -> tuple[Column, Column]:
 def _runs(rows: DataFrame, keys: list[str], largest: bool, joined) -> DataFrame:
     kept_id, order = _ends(largest)
     run = Window.partitionBy(*keys, "run")
-    narrow = _compared(rows, keys).select("doc_id", *keys, "run")
+    narrow = _compared(rows, keys).select("doc_id", *keys, "run", F.sha2("text", 256).alias("sha"))
     grouped = narrow.select(
         "doc_id",
-        *keys[1:],
+        *keys,
         "run",
+        "sha",
         F.count("*").over(run).alias("group_size"),
         kept_id.over(run).alias("keep_id"),
         F.row_number().over(run.orderBy(order)).alias("nth"),
@@ -104,15 +106,16 @@ def _runs(rows: DataFrame, keys: list[str], largest: bool, joined) -> DataFrame:
 def _merged(compared: DataFrame, largest: bool) -> DataFrame:
     """Of each sub-run of a hot text: the size and the kept id of all sub-runs of that text."""
     kept_id, _ = _ends(largest)
-    runs = compared.groupBy("sha", "salt", "run").agg(
+    keys = ["lead", "place", "salt", "run"]
+    runs = compared.groupBy(*keys).agg(
         F.min_by("text", F.struct(~F.col("first"), "doc_id")).alias("text"),
         F.count("*").alias("n"),
         kept_id.alias("id"),
     )
-    same = Window.partitionBy("sha", "text")
+    same = Window.partitionBy("lead", "place", "text")
     end = F.max("id") if largest else F.min("id")
     return runs.select(
-        "sha", "salt", "run", F.sum("n").over(same).alias("all_group_size"), end.over(same).alias("all_keep_id")
+        *keys, F.sum("n").over(same).alias("all_group_size"), end.over(same).alias("all_keep_id")
     )
 
 
