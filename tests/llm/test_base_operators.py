@@ -6,7 +6,9 @@ import zlib
 from collections import Counter, defaultdict
 from itertools import pairwise
 
+import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -55,6 +57,15 @@ def test_exact_dedup_too_many_hot_texts_for_a_broadcast(spark):
     assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got} == {(i, 35 + i % 5, 8, i >= 35) for i in range(40)}
 
 
+def test_exact_dedup_of_texts_that_begin_alike(spark):
+    rows = [(i, "L" * 200 + str(i % 7 if i % 2 else 0), "s") for i in range(200)]
+    got = exact_dedup.exact_dedup(docs_of(spark, rows), "largest", hot_rows=20).collect()
+    groups = defaultdict(list)
+    for i, t, _ in rows:
+        groups[t].append(i)
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got} == {(i, max(g := groups[t]), len(g), i == max(g)) for i, t, _ in rows}
+
+
 def test_empty_tables(spark):
     docs = docs_of(spark, [])
     for out in (
@@ -237,6 +248,34 @@ def test_url_filter_odd_urls(spark):
     assert url_filter.judge_urls(pages.limit(0), url_filter.rules_frame(spark)).collect() == []
 
 
-def test_splitters_are_ordered():
-    cuts, hot = sharding._splitters([(k % 7 - 3, k, 0, 1.0) for k in range(100)] + [(9, k, 0, 1.0) for k in range(100)], 16)
-    assert all(a < b for a, b in pairwise(cuts.tolist())) and 9 in hot and -3 not in hot
+def test_splitters_begin_at_the_first_row_of_a_key():
+    rows = [(k % 7 - 3, k, 0, 1.0) for k in range(100)] + [(9, k, 0, 1.0) for k in range(100)]
+    cuts, low = sharding._splitters(rows, 16, {9}), -(1 << 63)
+    assert all(c[1:] == (low, low) for c in cuts if c[0] != 9) and len([c for c in cuts if c[0] == 9]) > 4
+    packed = sharding._ordered(list(np.array(sorted(cuts), "i8").T)).tolist()
+    assert all(a < b for a, b in pairwise(packed))
+
+
+@pytest.mark.parametrize("samples", [32, 1])
+def test_sharding_equals_a_plain_recomputation(spark, sf_dir, monkeypatch, samples):
+    """Order by hash and doc_id, bytes before, and the hot texts, without ranges or samples."""
+    monkeypatch.setattr(sharding, "SAMPLES_PER_RANGE", samples)
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    texts += [f"{t[: 20 + 7 * k]} {k}" for t in texts for k in range(12)] + ["same again"] * 900 + ["x" * 60_000, None, ""]
+    docs = [(3 * i - 50, t, "s") for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.size, r.shard, r.slot) for r in sharding.shard_by_bytes(docs_of(spark, docs), ranges_per_shard=8).collect()}
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64)
+    rows = sorted((signed(t or ""), i, len((t or "").encode()) + 1) for i, t, _ in docs)
+    total, part = sum(r[2] for r in rows), defaultdict(float)
+    for k, _, size in rows:
+        part[k] += size / total + 1 / len(rows)
+    many = Counter(r[0] for r in rows)
+    hot = {k for k in part if part[k] > 2 * 2 / 128 and many[k] > 1}
+    want, at, group, slots = {}, 0, {}, Counter()
+    for k, i, size in rows:
+        place = at if k in hot else group.setdefault(k, at)
+        shard = place * 16 // total
+        want[i] = (size, shard, slots[shard])
+        slots[shard] += 1
+        at += size
+    assert hot and got == want
