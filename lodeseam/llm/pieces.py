@@ -22,6 +22,7 @@ from .token_files import public_path
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+NONE = float("-inf")
 CACHED_CHUNKS = 400_000
 CACHED_PAIRS = 400_000
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
@@ -31,10 +32,15 @@ class Pieces(dict):
     """Encoder and decoder of one model; as a dict it holds the ids of chunks that recur.
 
     An automaton over the pieces reads a chunk once. At each position its output links name the pieces that
-    end there, and the best of them is kept: for a unigram model the one with the largest sum
-    of scores, for a BPE model the one that the merges lead to. That one is unique: a segmentation is
-    the result of the merges if and only if each two neighbouring pieces, joined, are split in the same place
-    again. Characters outside the vocabulary become bytes and end the lattice.
+    end there, and the best score of the position is relaxed with each: the score at the piece's start plus that of the piece.
+
+    For a unigram model that is all. For a BPE model a step is only allowed if the piece before and this one,
+    joined, are split in the same place again by the merges. The allowed path is unique and is what the merges lead
+    to: merges within final pieces never cross their ends, so each two neighbours of the merged text are split
+    alike on their own; and where all neighbours are, the first merge over an end would, by the same order of
+    scores, have been made between these two alone. So the relaxation has one candidate a position, and its score is the
+    sum of the merged pieces' scores. Equal scores, where "leftmost first" reaches beyond two neighbours, are only those of
+    runs of spaces; merged() does these. Characters outside the vocabulary become bytes and end the lattice.
     """
 
     def __init__(self, pieces: list[str], scores: list[float], types: list[int], kind: int, dummy_prefix: bool = True):
@@ -99,22 +105,17 @@ class Pieces(dict):
         return found
 
     def best_path(self, text: str) -> list[int]:
-        """Ids of a text of known characters, position by position."""
-        last, lengths = [-1] * (len(text) + 1), [0] * (len(text) + 1)
-        if self.kind == BPE:
-            pairs, fits = self.pairs, self.fits
-            for end, (length, i) in self.automaton.iter(text):
-                end += 1
-                if last[end] < 0:
-                    before = last[end - length]
-                    if end == length or pairs.get(before << 24 | i) or fits(before, i):
-                        last[end], lengths[end] = i, length
-        else:
-            sums = [0.0] + [-np.inf] * len(text)
-            for end, (length, i) in self.automaton.iter(text):
-                end += 1
-                if (total := sums[end - length] + self.scores[i]) > sums[end]:
-                    sums[end], last[end], lengths[end] = total, i, length
+        """Ids of a text of known characters: one pass that relaxes the best score of each position."""
+        best, last, lengths = [0.0] + [NONE] * len(text), [-1] * (len(text) + 1), [0] * (len(text) + 1)
+        bpe, scores, pairs, fits = self.kind == BPE, self.scores, self.pairs, self.fits
+        for end, (length, i) in self.automaton.iter(text):
+            end += 1
+            start = end - length
+            total = best[start] + scores[i]
+            if total > best[end]:
+                if bpe and start and not (pairs.get(last[start] << 24 | i) or fits(last[start], i)):
+                    continue
+                best[end], last[end], lengths[end] = total, i, length
         out, at = [], len(text)
         while at:
             out.append(last[at])
