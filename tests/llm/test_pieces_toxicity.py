@@ -8,6 +8,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodeseam.llm import pieces, toxicity
 from lodeseam.llm.token_files import public_path
@@ -79,13 +80,36 @@ def fitted(spark):
 
 def test_nearest_equals_a_full_scan(fitted):
     docs, _, index = fitted
+    dense = np.zeros((len(index.idf), len(index.keys)))
+    for t in range(len(index.idf)):
+        here = slice(index.starts[t * index.blocks], index.starts[(t + 1) * index.blocks])
+        dense[t, index.rows[here]] = index.values[here]
     for r in docs.limit(300).collect():
         ids, x = index.vector(index.vocabulary.counts(r.text))
         if len(ids):
             rows, near = index.nearest(ids, x, 16)
-            every = x.astype("f4") @ index.matrix[ids]
-            best = np.sort(every)[::-1][:16]
-            assert near == pytest.approx(best[best > 0], abs=1e-5)
+            every = x @ dense[ids]
+            best = np.lexsort((np.arange(len(every)), -every))[:16]
+            best = best[every[best] > 0]
+            assert near == pytest.approx(every[best]) and every[rows] == pytest.approx(every[best])
+            but = int(rows[0])
+            assert but not in index.nearest(ids, x, 16, but)[0]
+
+
+def test_scores_are_calibrated_on_held_out_rows(fitted):
+    """Of ten bins of scores and in all: the mean score is near the share of label 1; better than uncalibrated votes."""
+    docs, labels, index = fitted
+    labels = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
+    rows = [r for r in docs.collect() if r.doc_id in labels]
+    y = np.array([labels[r.doc_id] for r in rows], float)
+    votes = [index.vector(index.vocabulary.counts(r.text)) for r in rows]
+    raw = np.array([index.votes(*v)[0] if len(v[0]) else index.prior for v in votes])
+    score = np.array([index.calibrated(s) for s in raw])
+    loss = lambda p: -np.mean(y * np.log(np.clip(p, 1e-6, 1)) + (1 - y) * np.log(np.clip(1 - p, 1e-6, 1)))
+    bins = np.minimum((score * 10).astype(int), 9)
+    error = sum(abs(score[bins == b].sum() - y[bins == b].sum()) for b in range(10)) / len(y)
+    print("held out:", len(y), "brier", np.mean((score - y) ** 2), np.mean((raw - y) ** 2), "loss", loss(score), loss(raw), "ece", error, "line", index.line)
+    assert error < 0.03 and loss(score) <= loss(raw) + 0.005 and np.mean((score - y) ** 2) < 0.02
 
 
 def test_held_out_accuracy(fitted):
@@ -96,7 +120,7 @@ def test_held_out_accuracy(fitted):
     assert len(held) > 500 and np.mean(right) > 0.985
     kept = {r.doc_id for r in toxicity.drop_toxic(docs, index).collect()}
     assert kept == {i for i, r in scored.items() if not r.predicted}
-    trained = set(index.keys.tolist())
+    trained = set(index.keys)
     assert not [r for r in held if r.doc_id in trained]
 
 
@@ -106,5 +130,9 @@ def test_odd_rows_and_tables(spark, fitted):
     got = {(r.doc_id, r.predicted) for r in toxicity.toxicity_scores(odd, index).collect()}
     assert (1, 0) in got and len(toxicity.drop_toxic(odd, index).columns) == 3
     assert toxicity.toxicity_scores(odd.limit(0), index).collect() == []
+    named = lambda t: t.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    some = named(docs.limit(500))
+    by_name = toxicity.fit_examples(some.union(some), named(labels))
+    assert {type(k) for r in toxicity.toxicity_scores(some, by_name).collect() for k in r.evidence} <= {str}
     bare = toxicity.fit_examples(docs, labels.limit(0))
     assert {r.score for r in toxicity.toxicity_scores(odd, bare).collect()} == {0.0}
