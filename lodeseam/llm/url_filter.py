@@ -44,9 +44,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     other columns are not read.
 
     Each url is expanded into its host suffixes times its path prefixes (of as many labels and
-    characters as occur among the rules, so that a host of very many labels stays linear). Expressions and rules meet in an equi-join on the first hex digits of
+    characters as occur among the rules, so that a host of very many labels stays linear; of all
+    where the rules have over PATH_LENGTHS different ones). Expressions and rules meet in an equi-join on the first hex digits of
     the SHA-256 digest, and the full digests confirm a match. Up to BROADCAST_RULES rules are
-    broadcast; more are joined by a shuffle.
+    broadcast; more are joined by a shuffle, where adaptive execution splits the urls of a frequent suffix.
     """
     clean = rules.select(
         "verdict",
@@ -57,8 +58,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     numbers = [("path", F.length("path")), ("host", n_labels)]
     shapes = clean.select(F.explode(F.array(*[F.struct(F.lit(k).alias("of"), n.alias("n")) for k, n in numbers])).alias("s"))
     lengths = bounded_rows(shapes.select("s.of", "s.n").distinct(), PATH_LENGTHS)
-    if lengths is None:
-        raise ValueError(f"rules have hosts and paths of over {PATH_LENGTHS} different lengths")
     digest = F.sha2(F.concat("host", "path"), 256)
     side = clean.select(
         F.substring(digest, 1, SHORT).alias("short"),
@@ -78,6 +77,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     labels = F.split("host", r"\.")
 
     def taken(of: str) -> Column:
+        if lengths is None:  # too many to name: all that the url has
+            return F.sequence(F.lit(1), F.size(labels)) if of == "host" else F.sequence(F.lit(0), F.length("path"))
         return F.array(*[F.lit(n) for n in sorted(n for k, n in lengths if k == of)]).cast("array<int>")
 
     suffixes = F.transform(
