@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, table, text_of
+from .common import materialised, table, text_of, unused
 
 RATIO = 0.1
 MIN_PAGES = 3
-BROADCAST_HOSTS = 20_000
+LINE_BYTES = 24  # of a digest in an array
+BROADCAST_BYTES = 32_000_000
+SALTS = 64
 
 
 def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -36,22 +38,30 @@ def line_dedup(
 
     All rows and columns stay. A null text stays null, an empty one empty; a null host is a host
     of its own (the empty name). A text that is all boilerplate becomes empty. report adds
-    n_lines and n_dropped (of blank and other lines alike; in place of columns of that name).
+    n_lines and n_dropped (of blank and other lines alike; in place of columns of that name). The
+    boilerplate is written once and broadcast if it takes up to BROADCAST_BYTES; beyond that each host is salted.
     """
-    bad, _ = small_side(
-        boilerplate(docs, host, ratio, min_pages).select(F.col("host").alias("__host"), F.col("bad").alias("__bad")), BROADCAST_HOSTS
-    )
-    keyed = docs.withColumn("__host", F.coalesce(F.col(host).cast("string"), F.lit("")))
-    joined = keyed.join(bad, "__host", "left").drop("__host")
+    name, lines_out, salt, kept = (unused(docs, n) for n in ("host_key", "bad_lines", "host_salt", "kept_lines"))
+    bad = boilerplate(docs, host, ratio, min_pages).select(F.col("host").alias(name), F.col("bad").alias(lines_out))
+    bad = materialised(bad, "boilerplate")
+    size = bad.agg(F.coalesce(F.sum(F.size(lines_out) * LINE_BYTES + 64), F.lit(0))).first()[0]
+    keyed = docs.withColumn(name, F.coalesce(F.col(host).cast("string"), F.lit("")))
+    if size <= BROADCAST_BYTES:
+        joined = keyed.join(F.broadcast(bad), name, "left").drop(name)
+    else:
+        # Each host is dealt to SALTS tasks, so that no task gets a large host whole.
+        keyed = keyed.withColumn(salt, F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"))
+        bad = bad.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = keyed.join(bad, [name, salt], "left").drop(name, salt)
     lines = F.split(F.col("text"), "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains("__bad", F.unhex(F.md5(x))) | x.rlike(r"^\s*$"))
-    out = joined.withColumn("__kept", F.when(F.col("__bad").isNull(), lines).otherwise(kept))
+    good = F.filter(lines, lambda x: ~F.array_contains(lines_out, F.unhex(F.md5(x))) | x.rlike(r"^\s*$"))
+    out = joined.withColumn(kept, F.when(F.col(lines_out).isNull(), lines).otherwise(good))
     if report:
         count = lambda x: F.coalesce(F.size(x), F.lit(0)).cast("long")
         n = F.when(F.col("text").isNull(), 0).otherwise(count(lines))
-        out = out.withColumns({"n_lines": n, "n_dropped": n - F.when(F.col("text").isNull(), 0).otherwise(count(F.col("__kept")))})
-    out = out.withColumn("text", F.array_join("__kept", "\n"))
-    return out.drop("__bad", "__kept")
+        out = out.withColumns({"n_lines": n, "n_dropped": n - F.when(F.col("text").isNull(), 0).otherwise(count(F.col(kept)))})
+    out = out.withColumn("text", F.array_join(kept, "\n"))
+    return out.drop(lines_out, kept)
 
 
 def op1_line_dedup(spark, sf_dir):

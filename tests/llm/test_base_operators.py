@@ -248,6 +248,25 @@ def test_url_filter_odd_urls(spark):
     assert url_filter.judge_urls(pages.limit(0), url_filter.rules_frame(spark)).collect() == []
 
 
+def test_url_filter_with_more_lengths_than_can_be_named(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "PATH_LENGTHS", 1)
+    urls = ["http://a.b.example.net/en/x", "http://example.com/de/", "http://x.org/fr", "http://x.org/fr/y", "nothing", None, "s://net"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages, url_filter.rules_frame(spark)).collect()}
+    assert got == {(i, *plain_verdict(u, url_filter.RULES)) for i, u in enumerate(urls)}
+
+
+def test_line_dedup_beyond_a_broadcast_and_with_clashing_names(spark, monkeypatch):
+    rows = [(i, f"menu\nown {i}\n{'again' if i % 2 else 'x'}", f"s{i % 3}") for i in range(60)]
+    docs = docs_of(spark, rows).withColumnsRenamed({"lang": "host_key", "size": "bad_lines", "line": "kept_lines", "keep_id": "host_salt"})
+    want = sorted((r.doc_id, r.text) for r in line_dedup.line_dedup(docs_of(spark, rows)).collect())
+    assert want[0] == (0, "own 0")
+    for most in (line_dedup.BROADCAST_BYTES, 1):
+        monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", most)
+        out = line_dedup.line_dedup(docs)
+        assert out.columns == docs.columns and sorted((r.doc_id, r.text) for r in out.collect()) == want
+
+
 def test_splitters_begin_at_the_first_row_of_a_key():
     rows = [(k % 7 - 3, k, 0, 1.0) for k in range(100)] + [(9, k, 0, 1.0) for k in range(100)]
     cuts, low = sharding._splitters(rows, 16, {9}), -(1 << 63)
