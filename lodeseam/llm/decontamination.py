@@ -20,7 +20,7 @@ THRESHOLD = 0.6  # of an entry's own score
 PART_WORDS = 64
 PASSAGE_WORDS = 2 * PART_WORDS
 QUESTION_OVERLAP, ANSWER_OVERLAP = 0.8, 0.5
-BLOCK = 8
+BLOCK = 4
 INDEX_ITEMS = 5000  # items in one broadcast index; more items take more passes
 INDEX_CHARS = 20_000_000
 _WORD = re.compile(r"\w+")
