@@ -60,7 +60,7 @@ def tokenize(x: Column | str, composed: bool = True) -> Column:
 def source_tokens(x: Column | str) -> Column:
     """Distinct tokens of a text and of the text split at camel case."""
     text = F.coalesce(col(x), F.lit(""))
-    split = F.regexp_replace(text, "(?<=[0-9a-z])(?=[A-Z])", " ")
+    split = F.regexp_replace(text, "(?<=[a-z0-9])(?=[A-Z])", " ")
     return F.array_distinct(F.concat(tokenize(text), tokenize(split)))
 
 

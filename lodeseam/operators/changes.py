@@ -86,3 +86,10 @@ def input_mismatches(expected: DataFrame, actual: DataFrame) -> DataFrame:
     a, b = expected.select("path", F.col("content_hash").alias("a")), actual.select("path", F.col("content_hash").alias("b"))
     problem = F.when(F.col("a").isNull(), "unexpected").when(F.col("b").isNull(), "missing").otherwise("changed")
     return a.join(b, "path", "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select("path", problem.alias("problem"))
+
+
+def affected_catalogs(changed: DataFrame, catalogs: DataFrame) -> DataFrame:
+    """file, kind, id of the catalogs(file, kind, id) of both generations that are among changed(path); one row a file, the last by id."""
+    files = changed.select(T.to_posix("path").alias("file")).distinct()
+    named = catalogs.groupBy("file").agg(F.max(F.struct("id", "kind")).alias("c"))
+    return named.join(files, "file", "left_semi").select("file", "c.kind", "c.id")

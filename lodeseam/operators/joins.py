@@ -51,6 +51,34 @@ def resolve_imports(imports: DataFrame, files: DataFrame, suffixes: list[str], f
     return hits.groupBy("src_path", "specifier").agg(F.min_by("dst_path", "nth").alias("dst_path"), F.min("nth").alias("nth"))
 
 
+def resolve_rust_paths(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """src_path, specifier, dst_path of module paths in imports(src_path, specifier) that are files(path).
+
+    crate:: begins at the nearest folder src (or else the file's), self:: and plain paths at the module's own folder, and each
+    super:: one above. name.rs goes before name/mod.rs. Aliases, groups and globs are cut off; what still is no path has no file.
+    """
+    clean = F.col("specifier")
+    for pattern in (r"\s+as\s+.+$", r"(?s)::\{.*$", r"::\*$"):
+        clean = F.regexp_replace(clean, pattern, "")
+    asked = imports.select("src_path", "specifier", F.trim(clean).alias("name")).where("name <> '' AND NOT name RLIKE '[{}(),]'")
+    folders = F.filter(F.split(T.dirname("src_path"), "/"), lambda p: (p != "") & (p != "."))
+    stem = F.regexp_replace(F.element_at(F.split("src_path", "/"), -1), r"\.rs$", "")
+    own = F.when(stem.isin("lib", "main", "mod"), folders).otherwise(F.array_append(folders, stem))
+    src = F.size(folders) - F.array_position(F.reverse(folders), "src").cast("int") + 1
+    crate = F.when(F.array_contains(folders, "src"), F.slice(folders, F.lit(1), src)).otherwise(folders)
+    parts = F.filter(F.split("name", "::"), lambda p: p != "")
+    ups = F.length(F.regexp_extract(F.concat(F.array_join(parts, "::"), F.lit("::")), "^((?:super::)*)", 1)) / F.length(F.lit("super::"))
+    split = asked.select("src_path", "specifier", parts.alias("parts"), own.alias("own"), crate.alias("crate"), ups.cast("int").alias("ups"))
+    first = F.get("parts", F.lit(0))
+    base = F.when(first == "crate", F.col("crate")).when(F.col("ups") > 0, F.slice("own", F.lit(1), F.greatest(F.size("own") - F.col("ups"), F.lit(0)))).otherwise(F.col("own"))
+    skipped = F.when(first.isin("crate", "self"), 1).otherwise(F.col("ups"))
+    left = F.slice("parts", skipped + 1, F.size("parts"))
+    tried = split.where(F.size(left) > 0).select("src_path", "specifier", F.array_join(F.concat(base, left), "/").alias("base"))
+    each = tried.select("src_path", "specifier", F.posexplode(F.array(F.concat("base", F.lit(".rs")), F.concat("base", F.lit("/mod.rs")))).alias("nth", "path"))
+    hits = each.join(files.select("path").distinct(), "path")
+    return hits.groupBy("src_path", "specifier").agg(F.min_by("path", "nth").alias("dst_path"))
+
+
 def bind_cards(cards: DataFrame, declarations: DataFrame) -> DataFrame:
     """id, key: the only declaration at a card's path and symbol that is at its offset or line."""
     d = declarations.select("key", "path", "symbol", F.col("line").alias("d_line"), F.col("offset").alias("d_offset"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -113,3 +113,35 @@ def overlapping(intervals: DataFrame) -> DataFrame:
     """intervals(path, start, end) that begin before an earlier one of their path ends."""
     before = Window.partitionBy("path").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     return intervals.withColumn("reached", F.max("end").over(before)).where(F.col("start") < F.col("reached")).drop("reached")
+
+
+def shared_budget(excerpts: DataFrame, budget: int) -> DataFrame:
+    """request, rank, text, truncated: excerpts(request, rank, text) of each request in order, sharing a budget of UTF-8 bytes.
+
+    Line ends become line feeds. A text that doesn't fit is cut between code points; what it leaves goes to the next. Null texts are
+    left out, and so is all that follows the last byte. A request's excerpts are few: they meet in one row.
+    """
+    rows = excerpts.where("text IS NOT NULL").select("request", "rank", T.normalize_newlines("text").alias("text"))
+    lists = rows.groupBy("request").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("all"))
+    kind = f"struct<rest:long,out:array<struct<rank:{excerpts.schema['rank'].dataType.simpleString()},text:string,truncated:boolean>>>"
+
+    def fitting(text: Column, rest: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("bytes"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("open"))
+
+        def more(a: Column, c: Column) -> Column:
+            size = F.octet_length(c)
+            fits = a["open"] & (a["bytes"] + size <= rest)
+            return F.struct(F.when(fits, a["bytes"] + size).otherwise(a["bytes"]).cast("long").alias("bytes"), F.when(fits, a["n"] + 1).otherwise(a["n"]).cast("long").alias("n"), fits.alias("open"))
+
+        return F.substring(text, F.lit(1), F.aggregate(F.split(F.substring(text, F.lit(1), rest.cast("int")), ""), start, more)["n"].cast("int"))
+
+    def take(a: Column, e: Column) -> Column:
+        whole = F.octet_length(e["text"]) <= a["rest"]
+        text = F.when(whole, e["text"]).otherwise(fitting(e["text"], a["rest"]))
+        row = F.struct(e["rank"].alias("rank"), text.alias("text"), (~whole).alias("truncated"))
+        used = F.struct((a["rest"] - F.octet_length(text)).cast("long").alias("rest"), F.array_append(a["out"], row).alias("out"))
+        return F.when(a["rest"] == 0, a).otherwise(used).cast(kind)
+
+    zero = F.struct(F.lit(budget).cast("long").alias("rest"), F.array().alias("out")).cast(kind)
+    packed = lists.select("request", F.explode(F.aggregate("all", zero, take)["out"]).alias("x"))
+    return packed.select("request", "x.rank", "x.text", "x.truncated")

@@ -330,3 +330,9 @@ def gate_status(metrics: DataFrame, minimum_cases: int = 1, recall_at_1: float =
         .otherwise("passed")
     )
     return metrics.withColumn("status", status)
+
+
+def ordered_hash(hashes: DataFrame) -> DataFrame:
+    """hash: one digest of the lines id:hash of hashes(id, hash, card_order), in the order of the cards."""
+    lines = F.array_sort(F.collect_list(F.struct("card_order", F.concat_ws(":", "id", "hash").alias("line"))))
+    return hashes.agg(F.sha2(F.array_join(F.transform(lines, lambda r: r["line"]), "\n"), 256).alias("hash"))

@@ -390,6 +390,28 @@ def qy_context(spark, sf):
     return graph.bounded_context(roots, edges, nodes, 1, 40).select("root", "level", "src", "dst", F.round("confidence", 6).alias("confidence"))
 
 
+@query("""WITH RECURSIVE cards AS (
+  SELECT 'r' || r_regionkey AS id, NULL AS target FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
+  UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
+links AS (SELECT id AS node, target AS neighbor FROM cards WHERE target IS NOT NULL UNION ALL SELECT target, id FROM cards WHERE target IS NOT NULL),
+walk(root, id, level) AS (SELECT 's' || s_suppkey, 's' || s_suppkey, 0 FROM supplier WHERE s_acctbal < 0
+  UNION SELECT root, neighbor, level + 1 FROM walk JOIN links ON node = id WHERE level < 3)
+SELECT root, min(level) AS level, id FROM walk GROUP BY root, id""")
+def qy_context_declared(spark, sf):
+    row = lambda t, p, k, up, q, at: A.table(spark, sf, t).select(
+        F.concat(F.lit(p), F.col(k).cast("string")).alias("id"), (F.array(F.concat(F.lit(f"policy>{q}"), F.col(up).cast("string"))) if up else F.array().cast("array<string>")).alias("rel"), (F.col(k) + at).cast("long").alias("card_order")
+    )
+    cards = row("region", "r", "r_regionkey", None, "", 0).union(row("nation", "n", "n_nationkey", "n_regionkey", "r", 1000)).union(row("supplier", "s", "s_suppkey", "s_nationkey", "n", 100_000))
+    roots = A.table(spark, sf, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("root"))
+    return graph.declared_context(roots, cards, 3, 1000).select("root", "level", "id")
+
+
+@query("SELECT sha256(string_agg(p_partkey || ':' || md5(p_name), chr(10) ORDER BY p_size, p_partkey)) AS hash FROM part")
+def ag_ordered_hash(spark, sf):
+    p = A.table(spark, sf, "part")
+    return retrieval.ordered_hash(p.select(F.col("p_partkey").cast("string").alias("id"), F.md5("p_name").alias("hash"), F.struct("p_size", "p_partkey").alias("card_order")))
+
+
 @query()
 def qy_context_deep(spark, sf):
     edges = A.supply_edges(spark, sf)

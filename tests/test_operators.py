@@ -380,3 +380,88 @@ def test_globs_compile(parts):
     import re
 
     re.compile(glob.glob_regex("/".join(parts)))
+
+
+def test_each_sign_of_a_boundary(spark):
+    rows = [
+        ("a.ts", "export async function cacheFileName() { return `x.index.json` }", [("artifact", "medium", ["persistent-json-filename"])]),
+        ("Bin/x.py", "", [("command", "high", ["path"])]),
+        ("a/initCommand.js", "", [("command", "high", ["path"])]),
+        ("main.go", "// x\npackage main\n", [("command", "high", ["path"])]),
+        ("main.go", "package mainly", []),
+        ("src/bin/a.rs", "#[tauri::command]", [("command", "high", ["path", "tauri-command"])]),
+        ("a.rs", "#[cfg(unix)] impl Drop for X", [("runtime", "medium", ["platform-lifecycle"])]),
+        ("a.tsx", "getTauriInvoke (); invoke<string>(x)", [("command", "high", ["tauri-invoke"])]),
+        ("events/a.go", None, [("event", "medium", ["path"])]),
+        ("db/migrate/a.py", "", [("migration", "high", ["path"])]),
+        ("api/schema.yaml", "", [("route", "high", ["path"]), ("schema", "high", ["path"])]),
+        ("a.py", "schemaVersion: 'card/v1.2'", [("schema", "high", ["versioned-schema-literal"])]),
+        ("apis/a.py", "x", []),
+    ]
+    f = spark.createDataFrame([(i, p, s) for i, (p, s, _) in enumerate(rows)], "i int, path string, content string")
+    got = f.select("i", extraction.boundaries(F.col("path"), F.col("content")).alias("b")).collect()
+    assert {r.i: [(b.kind, b.confidence, b.evidence) for b in r.b] for r in got} == {i: w for i, (_, _, w) in enumerate(rows)}
+    stated = extraction.boundaries(F.lit("events/migrate/a.py"), F.lit(""), F.array(F.lit("event.emit(x)")), F.array(F.lit("migration")))
+    assert [tuple(b) for b in spark.range(1).select(stated.alias("b")).first().b] == [("event", "high", ["effect"]), ("migration", "high", ["risk"])]
+
+
+def test_rust_paths(spark):
+    files_ = spark.createDataFrame([(p,) for p in ("k/src/a.rs", "k/src/a/b.rs", "k/src/a/mod.rs", "k/src/c/mod.rs", "k/src/c/d.rs", "x/y.rs", "x/lib.rs")], "path string")
+    asked = [
+        ("k/src/c/d.rs", "crate::a", "k/src/a.rs"), ("k/src/c/d.rs", "super::super::a::b", "k/src/a/b.rs"), ("k/src/c/d.rs", "super::d", "k/src/c/d.rs"), ("k/src/c/mod.rs", "super::a::b as z", "k/src/a/b.rs"),
+        ("k/src/c/mod.rs", "self::d::{X, Y}", "k/src/c/d.rs"), ("k/src/lib.rs", "c", "k/src/c/mod.rs"), ("x/lib.rs", "crate::y::*", "x/y.rs"), ("x/lib.rs", "crate", None), ("x/lib.rs", "(y)", None), ("k/src/a.rs", "b", "k/src/a/b.rs"),
+    ]
+    got = joins.resolve_rust_paths(spark.createDataFrame([a[:2] for a in asked], "src_path string, specifier string"), files_).collect()
+    assert {(r.src_path, r.specifier, r.dst_path) for r in got} == {a for a in asked if a[2]}
+
+
+def test_shared_budget(spark):
+    texts = ["abc\r\nd", "äöü" * 5, None, "xyz", "q" * 40]
+    rows = spark.createDataFrame([(r, k, t) for r in (1, 2) for k, t in enumerate(texts) if r == 1 or k > 1], "request int, rank int, text string")
+    for budget in (0, 3, 6, 7, 13, 22, 30, 100):
+        want = []
+        for request in (1, 2):
+            left = budget
+            for k, t in enumerate(texts):
+                if t is None or not left or request == 2 and k < 2:
+                    continue
+                t, out = t.replace("\r\n", "\n"), ""
+                for c in t:
+                    if len((out + c).encode()) > left:
+                        break
+                    out += c
+                left -= len(out.encode())
+                want.append((request, k, out, out != t))
+        assert sorted(tuple(r) for r in packing.shared_budget(rows, budget).collect()) == want
+
+
+def test_affected_catalogs(spark):
+    known = spark.createDataFrame([("c/repo.txt", "repository", "repository"), ("c/m/a.txt", "module", "a"), ("c/m/a.txt", "module", "a"), ("c/m/b.txt", "module", "b")], "file string, kind string, id string")
+    changed = spark.createDataFrame([("c\\m\\a.txt",), ("c/repo.txt",), ("c/repo.txt",), ("src/a.ts",)], "path string")
+    assert sorted(tuple(r) for r in changes.affected_catalogs(changed, known).collect()) == [("c/m/a.txt", "module", "a"), ("c/repo.txt", "repository", "repository")]
+
+
+def test_declared_context_counts_each_step(spark):
+    rng = random.Random(6)
+    rels = {f"c{i}": [f"policy>c{rng.randrange(34)}" for _ in range(rng.randrange(4))] for i in range(30)}
+    cards = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(rels.items())], "id string, rel array<string>, card_order int")
+    roots = spark.createDataFrame([(f"c{i}",) for i in (0, 1, 2, 33)], "root string")
+    for depth, most in ((0, 9), (2, 0), (1, 2), (3, 7), (4, 12), (6, 1000)):
+        want = {}
+        for root in ("c0", "c1", "c2"):
+            queue, seen, out, steps = [(root, 0)], set(), [], 0
+            for node, level in queue:
+                if node in seen or node not in rels:
+                    continue
+                seen.add(node)
+                out.append((level, node))
+                if level < depth:
+                    near = [r.split(">")[1] for r in rels[node]] + [k for k, v in rels.items() for r in v if r.split(">")[1] == node]
+                    near = near[: most - steps]
+                    steps += len(near)
+                    queue += [(n, level + 1) for n in near]
+            want[root] = out
+        got = {}
+        for r in graph.declared_context(roots, cards, depth, most).orderBy("root", "level", "pos").collect():
+            got.setdefault(r.root, []).append((r.level, r.id))
+        assert got == want
