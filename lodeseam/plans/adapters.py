@@ -111,7 +111,10 @@ reg AS (
            WHEN doc_id % 11 = 0 THEN 'replaced' WHEN doc_id % 13 = 0 THEN 'retired' ELSE 'active' END AS state,
          CASE WHEN doc_id = 1 THEN 3 WHEN doc_id = 3 THEN 5 WHEN doc_id = 5 THEN 1 WHEN doc_id % 2 = 0 THEN doc_id // 2
            WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN doc_id - 2 END AS nxt
-  FROM documents WHERE doc_id IS NOT NULL)"""
+  FROM documents WHERE doc_id IS NOT NULL),
+links AS (SELECT n, nxt FROM reg WHERE nxt IS NOT NULL UNION SELECT n, n + 1 FROM reg WHERE state = 'ambiguous' UNION SELECT n, n + 2 FROM reg WHERE state = 'ambiguous'),
+onward(a, b) AS (SELECT n, nxt FROM links UNION SELECT o.a, l.nxt FROM onward o JOIN links l ON l.n = o.b),
+cyclic AS (SELECT DISTINCT a AS n FROM onward WHERE b IN (SELECT a FROM onward WHERE a = b))"""
 
 
 def order_snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -241,11 +241,12 @@ def qy_discover(spark, sf):
 # Joins
 
 
-@query("SELECT item_id AS needle_id, page_id AS hay_id FROM (SELECT item_id, lower(regexp_extract(text, '^[^ ]+', 0)) AS n FROM benchmark) b JOIN pages ON n <> '' AND contains(lower(url), n)")
+@query("SELECT DISTINCT item_id AS needle_id, n AS needle, page_id AS hay_id FROM (SELECT item_id, unnest(string_split(lower(text), ' ')) AS n FROM benchmark) b JOIN pages ON n <> '' AND contains(lower(url), n)")
 def jn_substring(spark, sf):
-    n = A.table(spark, sf, "benchmark").select(F.col("item_id").alias("needle_id"), F.lower(F.regexp_extract("text", "^[^ ]+", 0)).alias("needle"))
+    words = F.array_distinct(F.split(F.lower("text"), " "))
+    n = A.table(spark, sf, "benchmark").select(F.col("item_id").alias("needle_id"), F.explode(words).alias("needle")).distinct()
     h = A.table(spark, sf, "pages").select(F.col("page_id").alias("hay_id"), F.lower("url").alias("hay"))
-    return substring.substring_join(n, h).select("needle_id", "hay_id")
+    return substring.substring_join(n, h).select("needle_id", "needle", "hay_id")
 
 
 @query(f"WITH {A.SUPPLY_SQL}, a AS (SELECT src AS node, dst AS nb, 'out' AS direction, confidence FROM edges UNION ALL SELECT dst, src, 'in', confidence FROM edges) SELECT node, direction, count(*) AS neighbors, round(max(confidence), 6) AS best FROM a GROUP BY 1, 2")
@@ -279,13 +280,13 @@ def ch_contract_drift(spark, sf):
     return changes.contract_drift(*A.order_snapshots(spark, sf))
 
 
-@query(f"""WITH {A.PAGES_SQL}, mods AS (SELECT DISTINCT CASE WHEN page_id % 2 = 0 THEN regexp_extract(path, '^[^/]+', 0) ELSE regexp_extract(path, '^[^/]+/[^/]+', 0) END AS m FROM files WHERE page_id % 5 = 0),
+@query(f"""WITH {A.PAGES_SQL}, mods AS (SELECT DISTINCT CASE WHEN page_id % 2 = 0 THEN regexp_extract(path, '^[^/]+', 0) ELSE regexp_extract(path, '^[^/]+/[^/]+', 0) END AS m FROM files),
 j AS (SELECT page_id, m, row_number() OVER (PARTITION BY page_id ORDER BY length(m) DESC) AS nth FROM files JOIN mods ON m <> '' AND (path = m OR starts_with(path, m || '/')))
 SELECT page_id, m AS module FROM j WHERE nth = 1""")
 def jn_longest_prefix(spark, sf):
     f = A.page_files(spark, sf)
     part = F.when(F.col("page_id") % 2 == 0, F.regexp_extract("path", "^[^/]+", 0)).otherwise(F.regexp_extract("path", "^[^/]+/[^/]+", 0))
-    mods = f.where("page_id % 5 = 0").select(part.alias("module_path"), F.lit("").alias("directory")).distinct().where("module_path <> ''")
+    mods = f.select(part.alias("module_path"), F.lit("").alias("directory")).distinct().where("module_path <> ''")
     hit = joins.longest_prefix_join(f.select(F.col("page_id").cast("string").alias("path"), F.col("path").alias("specifier")), mods)
     return hit.select(F.col("path").cast("long").alias("page_id"), "module")
 
@@ -328,21 +329,18 @@ def gr_resolve(spark, sf):
 
 
 @query(f"""WITH RECURSIVE {A.REGISTRY_SQL},
-walk(n, here, steps) AS (SELECT n, n, 0 FROM reg UNION ALL SELECT w.n, r.nxt, w.steps + 1 FROM walk w JOIN reg r ON r.n = w.here WHERE r.nxt IS NOT NULL AND w.steps < 70),
+walk(n, here, steps) AS (SELECT n, n, 0 FROM reg WHERE n NOT IN (SELECT n FROM cyclic) UNION ALL SELECT w.n, r.nxt, w.steps + 1 FROM walk w JOIN reg r ON r.n = w.here WHERE r.nxt IS NOT NULL),
 ends AS (SELECT w.n, max(w.steps) AS steps, max_by(w.here, w.steps) AS here FROM walk w GROUP BY 1)
-SELECT 'doc.d' || e.n AS id, CASE WHEN e.steps < 70 THEN 'doc.d' || e.here END AS final_id,
-       CASE WHEN e.steps >= 70 THEN 'cycle' WHEN r.state IS NULL THEN 'missing' ELSE r.state END AS state, CASE WHEN e.steps < 70 THEN e.steps::BIGINT END AS steps
-FROM ends e LEFT JOIN reg r ON r.n = e.here""")
+SELECT 'doc.d' || e.n AS id, 'doc.d' || e.here AS final_id, coalesce(r.state, 'missing') AS state, e.steps::BIGINT AS steps
+FROM ends e LEFT JOIN reg r ON r.n = e.here
+UNION ALL SELECT 'doc.d' || n, NULL, 'cycle', NULL FROM cyclic""")
 def rg_resolution(spark, sf):
-    # As the SQL does: several replacements are ambiguous, also where one of them leads into a cycle.
-    return graph.registry_resolution(A.document_registry(spark, sf), several=False)
+    return graph.registry_resolution(A.document_registry(spark, sf))
 
 
-@query(f"""WITH RECURSIVE {A.REGISTRY_SQL},
-back(n) AS (SELECT n FROM reg WHERE n IN (0, 1, 3, 5) UNION SELECT r.n FROM reg r JOIN back b ON r.nxt = b.n) SELECT 'doc.d' || n AS id FROM back""")
+@query(f"WITH RECURSIVE {A.REGISTRY_SQL} SELECT 'doc.d' || n AS id FROM cyclic")
 def rg_cycles(spark, sf):
-    # As the SQL does, whose entries with several replacements lead nowhere.
-    return graph.cyclic_ids(A.document_registry(spark, sf), several=False)
+    return graph.cyclic_ids(A.document_registry(spark, sf))
 
 
 @query("""WITH r AS (SELECT 'd' || doc_id AS id, doc_id AS line_no FROM documents WHERE doc_id % 2 = 0), s AS (SELECT DISTINCT 'd' || doc_id AS id FROM documents WHERE doc_id % 3 = 0)
@@ -364,7 +362,7 @@ def so_stable_order(spark, sf):
     return changes.stable_order(d.where("doc_id % 2 = 0").select(name, F.col("doc_id").alias("pos")), d.where("doc_id % 3 = 0").select(name))
 
 
-@query(f"""WITH RECURSIVE {A.REGISTRY_SQL}, l AS (SELECT n AS src, n * 2 AS dst FROM reg WHERE n % 3 <> 0),
+@query("""WITH RECURSIVE l AS (SELECT doc_id AS src, doc_id * 2 AS dst FROM documents WHERE doc_id % 3 <> 0),
 w(node) AS (SELECT 1::BIGINT UNION SELECT dst FROM w JOIN l ON src = node) SELECT node FROM w""")
 def gr_reachable(spark, sf):
     links = A.table(spark, sf, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("src"), (F.col("doc_id") * 2).alias("dst"))

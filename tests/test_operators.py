@@ -465,3 +465,11 @@ def test_declared_context_counts_each_step(spark):
         for r in graph.declared_context(roots, cards, depth, most).orderBy("root", "level", "pos").collect():
             got.setdefault(r.root, []).append((r.level, r.id))
         assert got == want
+
+
+def test_reachable_at_any_distance(spark):
+    chain = [(i, i + 1) for i in range(70)] + [(70, 35), (70, 70), (None, 5), (3, None), (500, 501), (70, 0)]
+    links = spark.createDataFrame(chain + chain[:5], "src long, dst long")
+    start = spark.createDataFrame([(0,), (0,), (None,), (900,)], "node long")
+    assert sorted(r.node for r in graph.reachable(start, links).collect()) == [*range(71), 900]
+    assert graph.reachable(start.where("false"), links).collect() == []
