@@ -156,6 +156,11 @@ def test_pii_added_spans_and_context():
     iban = "pay to DE89 3704 0044 0532 0130 00 now"
     assert [s[:3] for s in pii.find_spans(iban) if s[0] == "iban"] == [("iban", 7, 34)]
     assert not [s for s in pii.find_spans(iban.replace("89", "88")) if s[0] == "iban"]
+    es, at, de = "ES9121000418450200051332", "AT611904300234573201", "DE89 3704 0044 0532 0130 00"
+    for after in ("", " BIC CAIX", " 12 May", " USA", " BANK OF 1999 USA", " AB12 3456 7890 1234 5678", "."):
+        for one in (es, at, de):
+            assert [s[:3] for s in pii.find_spans(f"to {one}{after}") if s[0] == "iban"] == [("iban", 3, 3 + len(one))]
+    assert [s[1] for s in pii.find_spans(f"{es} {de} XX12 3456 7890 {at}") if s[0] == "iban"] == [0, 25, 68]
     amex = "378282246310005"
     assert not pii.find_spans(f"order {amex}") and pii.find_spans(f"my credit card {amex}")[0][0] == "pan"
     assert pii.find_spans("my ssn is 123-45-6789")[0][0] == "ssn" and not pii.find_spans("no 123-45-6789")
