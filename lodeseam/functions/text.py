@@ -192,3 +192,15 @@ def looks_volatile(x: Column | str) -> Column:
     for p in patterns:
         out = out | col(x).rlike(p)
     return out
+
+
+def key_value(line: Column | str) -> Column:
+    """(key, value) of a line key=value, split at the first sign; null if the line has no such key."""
+    pattern = r"(?s)^([a-z][a-z0-9_-]*)=(.*)$"
+    part = lambda n: F.regexp_extract(line, pattern, n)
+    return F.when(col(line).rlike(pattern), F.struct(part(1).alias("key"), part(2).alias("value")))
+
+
+def json_or(x: Column | str, schema: str, fallback: Column) -> Column:
+    """The JSON text as the schema, or the fallback where it is null or broken."""
+    return F.coalesce(F.when(F.try_parse_json(col(x)).isNotNull(), F.from_json(x, schema)), fallback)

@@ -93,3 +93,10 @@ def affected_catalogs(changed: DataFrame, catalogs: DataFrame) -> DataFrame:
     files = changed.select(T.to_posix("path").alias("file")).distinct()
     named = catalogs.groupBy("file").agg(F.max(F.struct("id", "kind")).alias("c"))
     return named.join(files, "file", "left_semi").select("file", "c.kind", "c.id")
+
+
+def reusable_partitions(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """current(key, input_hash, resolution_hash) with reused: a partition of the same key and both hashes is there. A null hash is never reused."""
+    same = ["key", "input_hash", "resolution_hash"]
+    known = previous.select(same).distinct().withColumn("known", F.lit(True))
+    return current.join(known, same, "left").withColumn("reused", F.coalesce("known", F.lit(False))).drop("known")

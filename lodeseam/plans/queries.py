@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.glob import matches_any
-from ..operators import audit, changes, graph, joins, packing, retrieval, substring, validation
+from ..operators import audit, changes, extraction, graph, joins, packing, retrieval, substring, validation
 from ..sources import sinks
 from . import adapters as A
 
@@ -443,9 +443,14 @@ def wn_token_prefix(spark, sf):
     return packing.greedy_prefix(A.table(spark, sf, "conversations"), "conv_id", ["turn"], 600).select("conv_id", "turn", "spent")
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT conv_id, turn, strlen(coalesce(text, '')) AS bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth, greatest(256, 4000 // least(count(*) OVER (PARTITION BY conv_id), 6)) AS quota FROM conversations),
+p(conv_id, nth, turn, bytes, used, rest) AS (SELECT conv_id, 0, NULL::INT, 0, 0, 4000 FROM c WHERE nth = 1
+  UNION ALL SELECT conv_id, nth, turn, bytes, take, rest - take FROM (
+    SELECT c.*, p.rest, CASE WHEN c.bytes > 0 AND least(c.bytes, p.rest, quota) < least(c.bytes, 256) THEN 0 ELSE least(c.bytes, p.rest, quota) END AS take
+    FROM p JOIN c ON c.conv_id = p.conv_id AND c.nth = p.nth + 1))
+SELECT conv_id, turn, bytes, used FROM p WHERE nth > 0""")
 def wn_pack_with_quota(spark, sf):
-    items = A.table(spark, sf, "conversations").select("conv_id", "turn", F.octet_length("text").alias("bytes"))
+    items = A.table(spark, sf, "conversations").select("conv_id", "turn", F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"))
     return packing.pack_with_quota(items, "conv_id", "turn", 4000)
 
 
@@ -538,3 +543,155 @@ def extension_hourly_events(spark, sf):
     w = F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz")
     return A.table(spark, sf, "events").groupBy(w.alias("hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
+
+# Imports, bindings, boundaries and the audit
+
+
+_ORDER_FILES = "f AS (SELECT 'src/m' || o_orderkey % 50 || '/f' || o_orderkey || '.ts' AS path FROM orders WHERE o_orderkey % 2 = 0 UNION SELECT 'src/m' || o_orderkey % 50 || '/f' || o_orderkey || '/index.ts' FROM orders WHERE o_orderkey % 3 = 0)"
+
+
+@query(f"""WITH {_ORDER_FILES}, i AS (SELECT 'src/m' || o_orderkey % 50 || '/f' || o_orderkey || '.ts' AS src_path, 'src/m' || o_orderkey // 2 % 50 || '/f' || o_orderkey // 2 AS base FROM orders),
+s AS (SELECT * FROM (VALUES ('', 0), ('.ts', 1), ('/index.ts', 2)) v(suffix, nth))
+SELECT src_path, path AS dst_path, nth FROM i CROSS JOIN s JOIN f ON f.path = base || suffix""")
+def jn_imports(spark, sf):
+    k = F.col("o_orderkey")
+    o = A.table(spark, sf, "orders")
+    at = lambda c, end: F.concat(F.lit("src/m"), (c % 50).cast("string"), F.lit("/f"), c.cast("string"), F.lit(end))
+    half = F.floor(k / 2)
+    specifier = F.concat(F.lit("./../m"), (half % 50).cast("string"), F.lit("/./f"), half.cast("string"))
+    files = o.where(k % 2 == 0).select(at(k, ".ts").alias("path")).union(o.where(k % 3 == 0).select(at(k, "/index.ts")))
+    return joins.resolve_imports(o.select(at(k, ".ts").alias("src_path"), specifier.alias("specifier")), files, ["", ".ts", "/index.ts"]).select("src_path", "dst_path", "nth")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey // 2 AS h FROM orders),
+f AS (SELECT 'core/src/m' || k || '.rs' AS path FROM o WHERE k % 2 = 0 UNION SELECT 'core/src/m' || k || '/mod.rs' FROM o WHERE k % 2 = 1 OR k % 6 = 0 UNION SELECT 'core/src/m' || k || '/inner.rs' FROM o WHERE k % 5 = 0),
+i AS (SELECT k, CASE k % 4 WHEN 2 THEN 'core/src/m' || k || '/inner' WHEN 3 THEN 'core/src/m' || k || '/std/fmt' ELSE 'core/src/m' || h END AS base FROM o)
+SELECT 'core/src/m' || k || '.rs' AS src_path, coalesce(a.path, b.path) AS dst_path FROM i LEFT JOIN f a ON a.path = base || '.rs' LEFT JOIN f b ON b.path = base || '/mod.rs' WHERE coalesce(a.path, b.path) IS NOT NULL""")
+def jn_rust_paths(spark, sf):
+    o = A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    k, half = F.col("k"), F.floor(F.col("k") / 2).cast("string")
+    at = lambda end: F.concat(F.lit("core/src/m"), k.cast("string"), F.lit(end)).alias("path")
+    files = o.where(k % 2 == 0).select(at(".rs")).union(o.where((k % 2 == 1) | (k % 6 == 0)).select(at("/mod.rs"))).union(o.where(k % 5 == 0).select(at("/inner.rs")))
+    asked = F.when(k % 4 == 0, F.concat(F.lit("crate::m"), half, F.lit("::{A, b}"))).when(k % 4 == 1, F.concat(F.lit("super::m"), half, F.lit(" as other"))).when(k % 4 == 2, F.lit("self::inner::*"))
+    return joins.resolve_rust_paths(o.select(at(".rs").alias("src_path"), asked.otherwise("std::fmt").alias("specifier")), files).select("src_path", "dst_path")
+
+
+@query("""WITH c AS (SELECT o_orderkey AS k, o_orderkey // 10 AS path, o_orderkey % 2 AS symbol FROM orders),
+d AS (SELECT 'd' || k AS key, path, symbol, CASE WHEN k % 2 = 0 THEN k END AS line, CASE WHEN k % 3 = 0 THEN k * 10 END AS pos FROM c UNION ALL SELECT 'e' || k, path, symbol, k, NULL FROM c WHERE k % 5 = 0)
+SELECT 'o' || k AS id, min(key) AS key FROM c JOIN d USING (path, symbol) WHERE line = k OR pos = k * 10 GROUP BY k HAVING count(*) = 1""")
+def jn_bindings(spark, sf):
+    k = F.col("o_orderkey")
+    place = (F.floor(k / 10).cast("string").alias("path"), (k % 2).cast("string").alias("symbol"))
+    o = A.table(spark, sf, "orders")
+    cards = o.select(F.concat(F.lit("o"), k.cast("string")).alias("id"), *place, k.alias("line"), (k * 10).alias("offset"))
+    first = o.select(F.concat(F.lit("d"), k.cast("string")).alias("key"), *place, F.when(k % 2 == 0, k).alias("line"), F.when(k % 3 == 0, k * 10).alias("offset"))
+    again = o.where(k % 5 == 0).select(F.concat(F.lit("e"), k.cast("string")), *place, k, F.lit(None).cast("long"))
+    return joins.bind_cards(cards, first.union(again))
+
+
+@query(r"""WITH p AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'app/Routes/' WHEN 1 THEN 'db/migrations/' WHEN 2 THEN 'src/cli/' WHEN 3 THEN 'src/events/' WHEN 4 THEN 'contract/' ELSE 'lib/' END AS d FROM pages),
+k AS (SELECT page_id, CASE d WHEN 'app/Routes/' THEN 'route' WHEN 'db/migrations/' THEN 'migration' WHEN 'src/cli/' THEN 'command' WHEN 'src/events/' THEN 'event' WHEN 'contract/' THEN 'schema' END AS kind, 'path' AS e, CASE WHEN d = 'src/events/' THEN 'medium' ELSE 'high' END AS c FROM p WHERE d <> 'lib/'
+UNION ALL SELECT page_id, 'schema', 'versioned-schema-literal', 'high' FROM p WHERE page_id % 3 = 0)
+SELECT page_id, kind, min(c) AS confidence, string_agg(e, ',' ORDER BY e) AS evidence FROM k GROUP BY 1, 2""")
+def tf_boundaries(spark, sf):
+    i = F.col("page_id")
+    folder = F.get(F.array(*[F.lit(d) for d in ("app/Routes/", "db/migrations/", "src/cli/", "src/events/", "contract/", "lib/", "lib/")]), (i % 7).cast("int"))
+    source = F.concat(F.coalesce("html", F.lit("")), F.when(i % 3 == 0, "\nschemaVersion: 'page/v2.1'").otherwise(""))
+    found = extraction.boundaries(F.concat(folder, F.lit("p"), i.cast("string"), F.lit(".html")), source)
+    rows = A.table(spark, sf, "pages").select("page_id", F.explode(found).alias("b"))
+    return rows.select("page_id", "b.kind", "b.confidence", F.array_join("b.evidence", ",").alias("evidence"))
+
+
+@query("SELECT 'p' || p_partkey || '.ts' AS path, p_size AS exports FROM part WHERE p_size > 0")
+def ag_exports(spark, sf):
+    body = F.concat(F.repeat(F.lit("export const a = 1;\n"), F.col("p_size").cast("int")), F.lit("const own = 2;\n"), "p_name")
+    files = A.table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".ts")).alias("path"), body.alias("content"))
+    return extraction.declarations(files).where("exported").groupBy("path").agg(F.count("*").alias("exports"))
+
+
+_SCORES = """WITH s AS (SELECT p_partkey AS k, p_size AS n, p_partkey % 11 = 0 AS e, p_partkey % 7 = 0 AS pub, p_partkey % 3 = 0 AS cmd, p_partkey % 5 = 0 AS ev, p_partkey % 9 AS imp, p_size % 4 = 0 AS large, p_partkey % 13 = 0 AS util, p_partkey % 8 = 0 AS np, p_partkey % 17 = 0 AS barrel FROM part),
+t AS (SELECT 'm' || k AS module, 'm' || k || '/a.ts' AS path, greatest(0, CASE WHEN e THEN 50 WHEN pub THEN 45 ELSE 0 END + 40 * cmd::INT + 30 * ev::INT + least(5 * imp, 30) + 10 * (n > 10)::INT + 10 * large::INT - 30 * util::INT - 40 * np::INT - 60 * barrel::INT)::BIGINT AS score
+  FROM s WHERE e OR pub OR cmd OR ev OR imp > 0 OR n > 10 OR large),
+r AS (SELECT *, CASE WHEN score >= 60 THEN 'high' WHEN score >= 30 THEN 'medium' ELSE 'low' END AS priority FROM t WHERE score > 0)
+"""
+
+
+def _part_signals(spark: SparkSession, sf: str) -> DataFrame:
+    k, module = F.col("p_partkey"), F.concat(F.lit("m"), F.col("p_partkey").cast("string"))
+    on = lambda n: (k % n == 0).cast("int")
+    kinds = F.array_compact(F.array(F.when(k % 3 == 0, "command"), F.when(k % 5 == 0, "event")))
+    return A.table(spark, sf, "part").select(
+        module.alias("module"), F.concat(module, F.lit("/a.ts")).alias("representative"), on(11).alias("entrypoint"), on(7).alias("public"), kinds.alias("kinds"), (k % 9).alias("importers"),
+        F.greatest(F.lit(0), F.col("p_size") - 10).alias("exports"), (F.col("p_size") % 4 == 0).alias("large"), (k % 13 == 0).alias("utility"), on(8).alias("non_production"), (k % 17 == 0).alias("barrel"),
+    )
+
+
+@query(_SCORES + "SELECT * FROM r")
+def ag_audit_score(spark, sf):
+    return audit.audit_candidates(_part_signals(spark, sf))
+
+
+@query(_SCORES + "SELECT * FROM (SELECT *, row_number() OVER (ORDER BY priority = 'medium', score DESC, path) AS rank, count(*) OVER () AS matched FROM r WHERE priority <> 'low') WHERE rank <= 20")
+def tk_audit_candidates(spark, sf):
+    return audit.ranked_candidates(audit.audit_candidates(_part_signals(spark, sf)), "medium", 20)
+
+
+@query("""WITH c AS (SELECT 'cat/c' || o_orderkey % 900 || '.txt' AS file, o_orderkey AS id, o_orderstatus AS kind FROM orders), x AS (SELECT DISTINCT 'cat/c' || o_custkey || '.txt' AS file FROM orders WHERE o_orderpriority = '5-LOW')
+SELECT file, arg_max(kind, id) AS kind, max(id) AS id FROM c SEMI JOIN x USING (file) GROUP BY file""")
+def ch_catalogs(spark, sf):
+    o = A.table(spark, sf, "orders")
+    name = lambda start, c: F.concat(F.lit(start), c.cast("string"), F.lit(".txt"))
+    changed = o.where("o_orderpriority = '5-LOW'").select(name("cat\\c", F.col("o_custkey")).alias("path"))
+    return changes.affected_catalogs(changed, o.select(name("cat/c", F.col("o_orderkey") % 900).alias("file"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("kind")))
+
+
+@query("""WITH w AS (SELECT l_suppkey AS path, l_linenumber AS terms, l_quantity AS hits, l_orderkey AS first, l_extendedprice AS p FROM lineitem),
+b AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY terms DESC, hits DESC, first, p) AS ordinal FROM w QUALIFY ordinal <= 3),
+f AS (SELECT path, row_number() OVER (ORDER BY count(*) DESC, path) AS file_rank FROM w GROUP BY path QUALIFY file_rank <= 12)
+SELECT path, ordinal, file_rank, row_number() OVER (ORDER BY ordinal, file_rank) AS place, first FROM b JOIN f USING (path)""")
+def wn_interleaved(spark, sf):
+    w = A.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("path"), F.col("l_linenumber").alias("terms"), F.col("l_quantity").alias("hits"), F.struct("l_orderkey", "l_extendedprice").alias("first"))
+    files = w.groupBy("path").agg(F.count("*").alias("terms")).orderBy(F.desc("terms"), "path").limit(packing.FILES)
+    return packing.interleaved(packing.best_windows(w), files).select("path", "ordinal", "file_rank", "place", F.col("first.l_orderkey").alias("first"))
+
+
+@query(r"""WITH RECURSIVE c AS (SELECT conv_id, turn, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS nth FROM conversations WHERE text IS NOT NULL),
+p(conv_id, nth, turn, out, truncated, rest) AS (SELECT conv_id, 0, NULL::INT, '', false, 700 FROM c WHERE nth = 1
+  UNION ALL SELECT conv_id, nth, turn, out, strlen(text) > rest, rest - strlen(out) FROM (
+    SELECT c.conv_id, c.nth, c.turn, c.text, p.rest, CASE WHEN strlen(c.text) <= p.rest THEN c.text ELSE left(c.text, list_count(list_filter(range(1, length(c.text) + 1), lambda n: strlen(left(c.text, n)) <= p.rest))) END AS out
+    FROM p JOIN c ON c.conv_id = p.conv_id AND c.nth = p.nth + 1 WHERE p.rest > 0))
+SELECT conv_id, turn, out AS text, truncated FROM p WHERE nth > 0""")
+def wn_shared_budget(spark, sf):
+    c = A.table(spark, sf, "conversations").select(F.col("conv_id").alias("request"), F.col("turn").alias("rank"), "text")
+    return packing.shared_budget(c, 700).select(F.col("request").alias("conv_id"), F.col("rank").alias("turn"), "text", "truncated")
+
+
+@query(f"WITH p AS (SELECT p_partkey AS k, CASE p_partkey % 6 WHEN 0 THEN 'Tests/a.ts' WHEN 1 THEN 'src/a.spec.ts' WHEN 2 THEN 'scripts/b.ts' WHEN 3 THEN 'lib/example/c.ts' WHEN 4 THEN 'latest/d.ts' ELSE 'src/mocks/e.ts' END AS path FROM part) SELECT k, path, k % 6 IN (0, 1, 5) AS audited, k % 6 IN (0, 1, 2, 3, 5) AS packed FROM p")
+def pf_non_production(spark, sf):
+    k = F.col("p_partkey")
+    path = F.get(F.array(*[F.lit(p) for p in ("Tests/a.ts", "src/a.spec.ts", "scripts/b.ts", "lib/example/c.ts", "latest/d.ts", "src/mocks/e.ts")]), (k % 6).cast("int"))
+    return A.table(spark, sf, "part").select(k.alias("k"), path.alias("path")).select("k", "path", F.col("path").rlike(audit.NON_PRODUCTION).alias("audited"), F.col("path").rlike(packing.NON_PRODUCTION).alias("packed"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 <> 3 THEN 'p_type-' || p_size END AS key, CASE WHEN p_partkey % 4 <> 3 THEN p_name || '=' || p_brand END AS value FROM part")
+def fn_key_value(spark, sf):
+    line = F.concat(F.when(F.col("p_partkey") % 4 == 3, "P").otherwise("p"), F.lit("_type-"), F.col("p_size").cast("string"), F.lit("="), "p_name", F.lit("="), "p_brand")
+    return A.table(spark, sf, "part").select("p_partkey", T.key_value(line).alias("e")).select("p_partkey", "e.key", "e.value")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE regexp_extract(props, '[0-9]+')::BIGINT END AS k FROM events")
+def fn_json_or(spark, sf):
+    text = F.when(F.col("event_id") % 3 == 0, F.regexp_replace("props", "[}]", "")).otherwise(F.col("props"))
+    return A.table(spark, sf, "events").select("event_id", T.json_or(text, "struct<k:bigint>", F.struct(F.lit(-1).cast("long").alias("k")))["k"].alias("k"))
+
+
+@query("""WITH a AS (SELECT o_orderkey AS k, floor(o_totalprice) AS h, o_orderstatus AS r FROM orders WHERE o_orderkey % 10 <> 0),
+b AS (SELECT o_orderkey AS k, floor(o_totalprice) + (o_orderkey % 8 = 0)::INT AS h, CASE WHEN o_orderkey % 6 = 0 THEN 'X' ELSE o_orderstatus END AS r FROM orders WHERE o_orderkey % 10 <> 1)
+SELECT b.k::VARCHAR AS key, a.k IS NOT NULL AND a.h = b.h AND a.r = b.r AS reused FROM b LEFT JOIN a ON a.k = b.k""")
+def in_partitions(spark, sf):
+    k = F.col("o_orderkey")
+    o = A.table(spark, sf, "orders")
+    price = F.floor("o_totalprice")
+    a = o.where(k % 10 != 0).select(k.cast("string").alias("key"), price.cast("string").alias("input_hash"), F.col("o_orderstatus").alias("resolution_hash"))
+    b = o.where(k % 10 != 1).select(k.cast("string").alias("key"), (price + (k % 8 == 0).cast("int")).cast("string").alias("input_hash"), F.when(k % 6 == 0, "X").otherwise(F.col("o_orderstatus")).alias("resolution_hash"))
+    return changes.reusable_partitions(a, b).select("key", "reused")
