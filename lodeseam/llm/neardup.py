@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialised, text_of, unused
+from .common import materialised, small_batches, text_of, unused
 from .components import components
 from .simhash import BKTree, _runs, fingerprint, shingle_hashes, spanning
 
@@ -20,8 +20,10 @@ SIMILARITY = 0.8
 RADIUS = 20
 ANCHORS = 4
 SHARD = 2048  # members of a shard
-SHARD_SHINGLES = 2_000_000  # and their shingles
+SHARD_SHINGLES = 500_000  # and their shingles
+COMPARED = 1 << 18  # shingles that are looked up at once
 SLICE = 256
+BATCH = 1000  # rows with their shingles that come to a Python worker together
 
 
 def _hashed(docs: DataFrame, words: int) -> DataFrame:
@@ -67,7 +69,7 @@ def _search(frames: Iterator[pd.DataFrame], radius: int, similarity: float) -> I
             continue
         sets = [np.frombuffer(x, "u4") for x in raw]
         sizes = np.array([len(s) for s in sets])
-        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype("i4")
         starts = np.cumsum(sizes) - sizes
         held = np.zeros(int(ids.max(initial=0)) + 1, bool)
 
@@ -75,16 +77,17 @@ def _search(frames: Iterator[pd.DataFrame], radius: int, similarity: float) -> I
             """Which of the others have that similarity with a."""
             low, high = np.minimum(sizes[a], sizes[others]), np.maximum(sizes[a], sizes[others])
             out = low >= similarity * high
-            some = others[out & (sizes[others] > 0)]
-            if sizes[a] and len(some):
-                mine = ids[starts[a] : starts[a] + sizes[a]]
-                held[mine] = True
-                n = sizes[some]
+            some = np.flatnonzero(out & (sizes[others] > 0)) if sizes[a] else np.zeros(0, "i8")
+            mine = ids[starts[a] : starts[a] + sizes[a]]
+            held[mine] = True
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes[others[some]]) // COMPARED)) + 1
+            for part in np.split(some, cuts) if len(some) else ():
+                n = sizes[others[part]]
                 first = np.cumsum(n) - n
-                every = np.repeat(starts[some] - first, n) + np.arange(int(n.sum()))
+                every = np.repeat(starts[others[part]] - first, n) + np.arange(int(n.sum()))
                 common = np.add.reduceat(held[ids[every]], first, dtype="i8")
-                held[mine] = False
-                out[np.isin(others, some, assume_unique=True)] = common >= similarity * (sizes[a] + n - common) - 1e-9
+                out[part] = common >= similarity * (sizes[a] + n - common) - 1e-9
+            held[mine] = False
             return out
 
         keys = fps.view("u8")
@@ -150,10 +153,11 @@ def near_groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
 
     Texts with the same words are of one class from the start, and one of them stands for it.
     """
-    sets = materialised(_hashed(docs, words), "sets")
     same = [F.min(c).alias(c) for c in ("row", "size", *(f"a{k}" for k in range(ANCHORS)))]
-    classes = materialised(sets.groupBy("class").agg(*same), "classes")
-    roots = components(near_links(sets, classes, similarity)).select(F.col("node").alias("row"), "component")
+    with small_batches(docs.sparkSession, BATCH):
+        sets = materialised(_hashed(docs, words), "sets")
+        classes = materialised(sets.groupBy("class").agg(*same), "classes")
+        roots = components(near_links(sets, classes, similarity)).select(F.col("node").alias("row"), "component")
     named = classes.select("class", "row").join(roots, "row", "left").select("class", F.coalesce("component", "row").alias("group"))
     return sets.select("doc_id", "key", "class").join(named, "class").select("doc_id", "key", "group")
 

@@ -55,11 +55,13 @@ def kept_of(spark, texts, **more):
 def test_near_dedup_equals_all_pairs(spark):
     texts = planted(1)
     assert kept_of(spark, texts) == set(plain_groups(texts))
-    neardup.SHARD, held = 3, neardup.SHARD
+    held = neardup.SHARD, neardup.SHARD_SHINGLES, neardup.COMPARED
     try:
-        assert kept_of(spark, texts) == set(plain_groups(texts))
+        for small in ((3, *held[1:]), (held[0], 700, 100)):
+            neardup.SHARD, neardup.SHARD_SHINGLES, neardup.COMPARED = small
+            assert kept_of(spark, texts) == set(plain_groups(texts))
     finally:
-        neardup.SHARD = held
+        neardup.SHARD, neardup.SHARD_SHINGLES, neardup.COMPARED = held
 
 
 def test_near_dedup_of_copies_that_repeat_a_line_more_or_less_often(spark):
