@@ -144,11 +144,16 @@ def excluded_scope(cards: DataFrame, queries: DataFrame, composed: bool = True)
 
 
 def summed(parts: DataFrame) -> DataFrame:
-    """query_id, id, score, reasons (the first six in order of their contribution)."""
-    first = F.array_sort(F.collect_list(F.struct("ord", "reason")))
-    return parts.groupBy("query_id", "id").agg(
-        F.sum("score").alias("score"), F.slice(F.array_distinct(F.transform(first, lambda r: r["reason"])), 1, REASONS).alias("reasons")
-    )
+    """query_id, id, score, reasons (the first six in order of their contribution).
+
+    Contributions are added in that order too: with F.sum their order would be that of the shuffle, and cards
+    with the same contributions would differ in the last bits.
+    """
+    each = parts.groupBy("query_id", "id").agg(F.array_sort(F.collect_list(F.struct("ord", "reason", "score"))).alias("all"))
+    return each.select(
+        "query_id", "id", F.aggregate("all", F.lit(0.0), lambda a, x: a + x["score"]).alias("score"),
+        F.slice(F.array_distinct(F.transform("all", lambda x: x["reason"])), 1, REASONS).alias("reasons"),
+    )
 
 
 def relation_edges(cards: DataFrame) -> DataFrame:
@@ -221,21 +226,26 @@ def add_graph_bonus(scores: DataFrame, cards: DataFrame, edges: DataFrame) -> Da
     )
 
 
-def ranked(scores: DataFrame, top: int = 5) -> DataFrame:
-    """query_id, rank, id, score (three decimals), reasons: the top cards of each query, by unrounded score, then id."""
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+def ranked(scores: DataFrame, top: int = 5, digits: int | None = None) -> DataFrame:
+    """query_id, rank, id, score (three decimals), reasons: the top cards of each query, by score, then id.
+
+    Scores are compared unrounded, or with so many digits after the point.
+    """
+    by = F.col("score") if digits is None else F.round("score", digits)
+    best = Window.partitionBy("query_id").orderBy(by.desc(), "id")
     out = scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(1, min(100, top)))
     return out.select("query_id", "rank", "id", F.round("score", 3).alias("score"), "reasons")
 
 
 def query_cards(
-    cards: DataFrame, queries: DataFrame, aliases: DataFrame | None = None, edges: DataFrame | None = None, top: int = 5, composed: bool = True
-) -> DataFrame:
-    """Ranked answers to queries(query_id, query); edges default to the relations that cards declare."""
+    cards: DataFrame, queries: DataFrame, aliases: DataFrame | None = None, edges: DataFrame | None = None, top: int = 5, composed: bool = True,
+    digits: int | None = None,
+) -> DataFrame:
+    """Ranked answers to queries(query_id, query); edges default to the relations that cards declare, digits are those of ranked()."""
     plain = queries.where(~F.lower(F.coalesce("query", F.lit(""))).rlike("^\\s*excludes:"))
     scores = summed(score_parts(cards, plain, aliases, composed))
     scores = add_graph_bonus(scores, cards, relation_edges(cards) if edges is None else edges)
-    return ranked(scores.unionByName(excluded_scope(cards, queries, composed)), top)
+    return ranked(scores.unionByName(excluded_scope(cards, queries, composed)), top, digits)
 
 
 def maintain_postings(old: DataFrame, old_hashes: DataFrame, cards: DataFrame, composed: bool = True) -> tuple[DataFrame, DataFrame]:

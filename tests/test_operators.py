@@ -74,6 +74,21 @@ def test_ranking_goldens(spark):
     assert got == [(f"{x}.seed", 500.0) for x in "axyz"] + [(f"{x}.target", 40.0) for x in "xyz"]
 
 
+def test_contributions_add_up_in_their_order_wherever_they_come_from(spark):
+    adds = [(1, 0.1), (2, 0.2), (3, 0.3)]
+    rows = [(1, i, n, x, f"token=t{n}") for i, each in (("b", adds), ("a", adds[::-1])) for n, x in each]
+    parts = spark.createDataFrame(rows, "query_id long, id string, ord int, score double, reason string").coalesce(1)
+    got = {r.id: (r.score, r.reasons) for r in retrieval.summed(parts).collect()}
+    assert got["a"] == got["b"] == (0.1 + 0.2 + 0.3, ["token=t1", "token=t2", "token=t3"])
+    assert [r.id for r in retrieval.ranked(retrieval.summed(parts)).orderBy("rank").collect()] == ["a", "b"]
+
+
+def test_ranks_by_rounded_scores(spark):
+    scores = spark.createDataFrame([(1, "a", 0.3, []), (1, "b", 0.1 + 0.2, [])], "query_id long, id string, score double, reasons array<string>")
+    ids = lambda df: [r.id for r in df.orderBy("rank").collect()]
+    assert ids(retrieval.ranked(scores)) == ["b", "a"] and ids(retrieval.ranked(scores, digits=6)) == ["a", "b"]
+
+
 def test_later_seeds_pass_on_what_earlier_ones_gave(spark):
     scores = spark.createDataFrame([(1, "a.a", 100.0, ["r"]), (1, "b.b", 50.0, ["r"])], "query_id long, id string, score double, reasons array<string>")
     edges = spark.createDataFrame([("a.a", "b.b", "k", 1.0), ("b.b", "c.c", "k", 0.5), ("a.a", "a.a", "k", 0.5)], "src string, dst string, kind string, confidence double")
