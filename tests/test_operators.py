@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -488,3 +489,36 @@ def test_reachable_at_any_distance(spark):
     start = spark.createDataFrame([(0,), (0,), (None,), (900,)], "node long")
     assert sorted(r.node for r in graph.reachable(start, links).collect()) == [*range(71), 900]
     assert graph.reachable(start.where("false"), links).collect() == []
+
+
+def broadcast_parts(df):
+    """The parts of the plan of df that are broadcast, as text."""
+    lines, out = df._jdf.queryExecution().sparkPlan().toString().splitlines(), []
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+    for k, line in enumerate(lines):
+        if "Join" in line and ("BuildRight" in line or "BuildLeft" in line):
+            below = [n for n in range(k + 1, len(lines)) if depth(lines[n]) == depth(line) + 3][:2]
+            at = below[1] if "BuildRight" in line else below[0]
+            end = next((n for n in range(at + 1, len(lines)) if depth(lines[n]) <= depth(lines[at])), len(lines))
+            out.append("\n".join(lines[at:end]))
+    return out
+
+
+@pytest.mark.parametrize("few", (0, 100))
+def test_haystacks_are_never_broadcast(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(substring, "FEW", few, raising=False)
+    spark.range(3000).selectExpr("id AS hay_id", "'one hay like all the others' AS hay").write.parquet(str(tmp_path / "hay"))
+    needles = spark.createDataFrame([(1, "like"), (2, "e"), (3, "none"), (4, "")], "needle_id int, needle string")
+    df = substring.substring_join(needles, spark.read.parquet(str(tmp_path / "hay")))
+    assert not [p for p in broadcast_parts(df) if "hay_id" in p]
+    assert {(r.needle_id, r["count"]) for r in df.groupBy("needle_id").count().collect()} == {(1, 3000), (2, 3000)}
+
+
+def test_scores_never_broadcast_cards(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("'c.x' || id AS id", "'red ring' AS role", "id AS card_order", "array('workflow>c.x0') AS rel")
+    rows.write.parquet(str(tmp_path / "cards"))
+    cards = as_cards(spark.read.parquet(str(tmp_path / "cards")))
+    q = spark.createDataFrame([(1, "red"), (2, "c.x7")], "query_id long, query string")
+    parts = retrieval.score_parts(cards, q, spark.createDataFrame([("red", "c.x1")], "alias string, target string"))
+    assert not [p for p in broadcast_parts(parts) if re.search("parquet", p) and "LocalTableScan" not in p and "ExistingRDD" not in p and "Aggregate" not in p]
+    assert parts.groupBy("query_id").count().count() == 2
