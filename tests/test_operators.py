@@ -522,3 +522,14 @@ def test_scores_never_broadcast_cards(spark, tmp_path):
     parts = retrieval.score_parts(cards, q, spark.createDataFrame([("red", "c.x1")], "alias string, target string"))
     assert not [p for p in broadcast_parts(parts) if re.search("parquet", p) and "LocalTableScan" not in p and "ExistingRDD" not in p and "Aggregate" not in p]
     assert parts.groupBy("query_id").count().count() == 2
+
+
+@pytest.mark.parametrize("given", (False, True))
+def test_bonuses_never_broadcast_cards_or_edges(spark, tmp_path, given):
+    spark.range(3000).selectExpr("'c.x' || id AS id", "'red ring' AS role", "id AS card_order", "array('workflow>c.x0') AS rel").write.parquet(str(tmp_path / "cards"))
+    cards = as_cards(spark.read.parquet(str(tmp_path / "cards")))
+    edges = cards.selectExpr("id AS src", "'c.x0' AS dst", "'next' AS kind", "0.5D AS confidence") if given else retrieval.relation_edges(cards)
+    scores = spark.createDataFrame([(1, "c.x7", 9.0, ["r"]), (1, "c.x8", 8.0, ["r"])], "query_id long, id string, score double, reasons array<string>")
+    out = retrieval.add_graph_bonus(scores, cards, edges)
+    assert not [p for p in broadcast_parts(out) if "parquet" in p]
+    assert sorted(r.id for r in out.collect()) == ["c.x0", "c.x7", "c.x8"]
