@@ -528,8 +528,16 @@ def test_scores_never_broadcast_cards(spark, tmp_path):
 def test_bonuses_never_broadcast_cards_or_edges(spark, tmp_path, given):
     spark.range(3000).selectExpr("'c.x' || id AS id", "'red ring' AS role", "id AS card_order", "array('workflow>c.x0') AS rel").write.parquet(str(tmp_path / "cards"))
     cards = as_cards(spark.read.parquet(str(tmp_path / "cards")))
-    edges = cards.selectExpr("id AS src", "'c.x0' AS dst", "'next' AS kind", "0.5D AS confidence") if given else retrieval.relation_edges(cards)
+    edges = cards.selectExpr("id AS src", "'c.x' || card_order % 1 AS dst", "'next' AS kind", "0.5D AS confidence") if given else retrieval.relation_edges(cards)
     scores = spark.createDataFrame([(1, "c.x7", 9.0, ["r"]), (1, "c.x8", 8.0, ["r"])], "query_id long, id string, score double, reasons array<string>")
     out = retrieval.add_graph_bonus(scores, cards, edges)
     assert not [p for p in broadcast_parts(out) if "parquet" in p]
     assert sorted(r.id for r in out.collect()) == ["c.x0", "c.x7", "c.x8"]
+
+
+def test_declared_context_without_a_limit(spark):
+    rows = [("r", [], -2), ("n", ["policy>r"], -1)] + [(f"s{i}", ["policy>n"], i) for i in range(1100)]
+    cards = spark.createDataFrame(rows, "id string, rel array<string>, card_order int")
+    roots = spark.createDataFrame([("s0",), ("s1099",)], "root string")
+    got = {(r.root, r.level): r["count"] for r in graph.declared_context(roots, cards, 3, None).groupBy("root", "level").count().collect()}
+    assert got == {(root, level): n for root in ("s0", "s1099") for level, n in ((0, 1), (1, 1), (2, 1100))}
