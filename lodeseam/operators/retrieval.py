@@ -202,7 +202,7 @@ def add_graph_bonus(scores: DataFrame, cards: DataFrame, edges: DataFrame) -> Da
         ).alias("steps")
     )
     starts = seeds.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "score"))).alias("starts"))
-    folded = starts.join(steps, "query_id")
+    folded = starts.join(steps.hint("merge"), "query_id")
 
     @F.pandas_udf("array<struct<id:string,score:double,ord:int,reason:string>>")
     def fold(starts: pd.Series, steps: pd.Series) -> pd.Series:

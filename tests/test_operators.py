@@ -541,3 +541,10 @@ def test_declared_context_without_a_limit(spark):
     roots = spark.createDataFrame([("s0",), ("s1099",)], "root string")
     got = {(r.root, r.level): r["count"] for r in graph.declared_context(roots, cards, 3, None).groupBy("root", "level").count().collect()}
     assert got == {(root, level): n for root in ("s0", "s1099") for level, n in ((0, 1), (1, 1), (2, 1100))}
+
+
+def test_tasks_of_postings_hold_a_bounded_number_of_cards(spark):
+    cards = spark.range(110_000).selectExpr("'c.x' || id AS id", "'red red ring' AS role", "id AS card_order").coalesce(1)
+    index = retrieval.postings(as_cards(cards))
+    assert index.rdd.getNumPartitions() == 6
+    assert {(r.token, r.tf) for r in index.where("field = 'role'").select("token", "tf").distinct().collect()} == {("red", 2), ("ring", 1)}
